@@ -28,7 +28,9 @@ def uniform_hash(*parts: Column | str, seed: int) -> Column:
     """
     cols = [F.col(p) if isinstance(p, str) else p for p in parts]
     text = F.concat_ws(":", *[c.cast("string") for c in cols], F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+    hashed = F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+    # never null; saying so spares joins on it a null filter that hashes again
+    return F.coalesce(hashed, F.lit(0).cast("bigint"))
 
 
 def below(fraction: float) -> int:

@@ -8,6 +8,7 @@ import sys
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # executors need no installed copy of this package to run the function below
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -48,6 +49,6 @@ def chi_square_tail(statistic: float, degrees: float) -> float:
     return scale * value
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_square_p_value(statistic: pd.Series, degrees: pd.Series) -> pd.Series:
     return pd.Series([chi_square_tail(s, d) for s, d in zip(statistic, degrees)], dtype=float)

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .counts import MAX_CLASSES, collect_bounded
+
 
 def confusion(
     predictions: DataFrame,
@@ -29,56 +31,50 @@ def _ratio(top: Column, bottom: Column, empty: float | None) -> Column:
     return F.when(bottom != 0, top / bottom).otherwise(F.lit(empty).cast("double"))
 
 
-def class_totals(counts: DataFrame, by: Sequence[str] = (), domain: DataFrame | None = None) -> DataFrame:
+def class_totals(
+    counts: DataFrame, by: Sequence[str] = (), domain: DataFrame | None = None
+) -> DataFrame:
     """``(by..., label, tp, fp, fn, tn)`` for every class.
 
     ``domain`` holds the labels of the whole data set in its first column, so
-    that classes missing from the predictions are listed too.
+    that classes missing from the predictions are listed too.  ``counts`` is
+    used once: nothing here computes the predictions a second time.
     """
+    kind = counts.schema["label"].dataType
     hit = F.col("label") == F.col("prediction")
+    zero = F.lit(0).cast("bigint")
+
+    def part(label: Column, tp: Column, fp: Column, fn: Column, seen: Column) -> Column:
+        return F.struct(
+            label.cast(kind).alias("c"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), seen.alias("seen")
+        )
+
+    n = F.col("n")
     # each confusion cell adds to its true class and, if wrong, to another one
-    sides = F.array(
-        F.struct(
-            F.col("label").alias("c"),
-            F.when(hit, F.col("n")).otherwise(0).alias("tp"),
-            F.lit(0).cast("bigint").alias("fp"),
-            F.when(hit, 0).otherwise(F.col("n")).alias("fn"),
-            F.col("n").alias("seen"),
-        ),
-        F.struct(
-            F.col("prediction").cast(counts.schema["label"].dataType).alias("c"),
-            F.lit(0).cast("bigint").alias("tp"),
-            F.when(hit, 0).otherwise(F.col("n")).alias("fp"),
-            F.lit(0).cast("bigint").alias("fn"),
-            F.lit(0).cast("bigint").alias("seen"),
-        ),
+    parts = F.array(
+        part(F.col("label"), F.when(hit, n).otherwise(zero), zero, F.when(hit, zero).otherwise(n), n),
+        part(F.col("prediction"), zero, F.when(hit, zero).otherwise(n), zero, zero),
     )
-    parts = counts.select(*by, F.inline(sides))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     if domain is not None:
-        name = domain.columns[0]
-        labels = domain.select(F.col(name).cast(counts.schema["label"].dataType).alias("c"))
-        zeros = [F.lit(0).cast("bigint").alias(m) for m in ("tp", "fp", "fn", "seen")]
-        if by:
-            groups = counts.select(*by).distinct().withColumn("_one", F.lit(1))
-            # groups and labels are both small results of aggregations
-            labels = groups.join(labels.withColumn("_one", F.lit(1)), "_one").drop("_one")
-        parts = parts.unionByName(labels.select(*by, "c", *zeros))
-    per_class = parts.groupBy(*by, "c").agg(
-        *[F.sum(m).alias(m) for m in ("tp", "fp", "fn", "seen")]
-    )
-    if by:
-        rows = counts.groupBy(*by).agg(F.sum("n").alias("_rows"))
-        per_class = per_class.join(rows, list(by))
-    else:
-        rows = counts.agg(F.sum("n").alias("_rows")).withColumn("_one", F.lit(1))
-        per_class = per_class.withColumn("_one", F.lit(1)).join(F.broadcast(rows), "_one")
-    return per_class.select(
-        *by,
-        F.col("c").alias("label"),
-        "tp",
-        "fp",
-        "fn",
-        (F.col("_rows") - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"),
+        labels = [r[0] for r in collect_bounded(domain, MAX_CLASSES, "classes")]
+        absent = F.array(*[part(F.lit(c), zero, zero, zero, zero) for c in labels])
+        first = F.row_number().over(group.orderBy("label", "prediction")) == 1
+        counts = counts.withColumn("_first", first)
+        parts = F.when(F.col("_first"), F.concat(parts, absent)).otherwise(parts)
+    return (
+        counts.select(*by, F.inline(parts))
+        .groupBy(*by, "c")
+        .agg(*[F.sum(m).alias(m) for m in ("tp", "fp", "fn", "seen")])
+        .withColumn("_rows", F.sum("seen").over(group))
+        .select(
+            *by,
+            F.col("c").alias("label"),
+            "tp",
+            "fp",
+            "fn",
+            (F.col("_rows") - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"),
+        )
     )
 
 

@@ -1,20 +1,24 @@
 """Exact areas under the ROC and precision-recall curves.
 
-Rows are first reduced to one row per score.  Scores are then cut into ranges
-at approximate quantiles; running counts are made inside each range and shifted
-by the totals of the ranges above it.  The cut points only balance the work:
-the areas are exact wherever they lie.
+Rows are first reduced to one row per score, and that table is stored once so
+that the rows behind it are never computed twice.  If a group has many scores,
+they are cut into ranges at approximate quantiles; running counts are made
+inside each range and shifted by the totals of the ranges above it.  The cut
+points only balance the work: the areas are exact wherever they lie.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_COARSE = 32
-RANGES = _COARSE * _COARSE
+from ..functions.ranking import ensure_checkpoint_dir
+
+ROWS_PER_RANGE = 1_000_000
+MAX_RANGES = 20_000
 
 
 def score_counts(
@@ -25,8 +29,7 @@ def score_counts(
 ) -> DataFrame:
     """``(by..., score, p, n)``: positive and negative rows at each score."""
     return (
-        scored.filter(F.col(score).isNotNull())
-        .groupBy(*by, F.col(score).alias("score"))
+        scored.groupBy(*by, F.col(score).alias("score"))
         .agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
     )
 
@@ -37,8 +40,7 @@ def one_vs_rest_counts(scored: DataFrame, score: str, label: str, classes: Seque
     All classes are judged on the same score column.
     """
     per_score = (
-        scored.filter(F.col(score).isNotNull())
-        .groupBy(F.col(score).alias("score"))
+        scored.groupBy(F.col(score).alias("score"))
         .agg(
             F.count(F.lit(1)).alias("_all"),
             *[F.count_if(F.col(label) == F.lit(c)).alias(f"_p{i}") for i, c in enumerate(classes)],
@@ -61,42 +63,41 @@ def one_vs_rest_counts(scored: DataFrame, score: str, label: str, classes: Seque
     ).select("label", "score", "p", "n")
 
 
-def _score_range(counts: DataFrame, cut_from: DataFrame, score: str, ranges: int) -> DataFrame:
+def _with_range(counts: DataFrame, by: Sequence[str], rows_per_range: int) -> DataFrame:
     """Add ``_range``, a number that never falls as the score rises."""
-    if ranges <= 1:
-        return counts.withColumn("_range", F.lit(0))
-    fine = [i / ranges for i in range(1, ranges)]
-    step = max(1, int(ranges**0.5))
-    cuts = cut_from.agg(
-        F.percentile_approx(score, fine, 10 * ranges).alias("cuts")
-    ).scalar()
-    with_cuts = counts.withColumn("_cuts", cuts)
-    # look up in two steps: first among every ``step``-th cut, then between two
-    every = F.filter(F.col("_cuts"), lambda c, i: (i % step == step - 1) & (c < F.col("score")))
-    start = F.size(every) * step
-    near = F.filter(F.slice("_cuts", start + 1, step), lambda c: c < F.col("score"))
-    return with_cuts.withColumn("_range", F.coalesce(start + F.size(near), F.lit(0))).drop("_cuts")
+    sizes = counts.groupBy(*by).count().agg(F.sum("count"), F.max("count")).first()
+    total, largest = sizes[0] or 0, sizes[1] or 0
+    if largest <= rows_per_range:
+        return counts.withColumn("_range", F.lit(0.0))
+    # cuts over all groups together: no group has more rows in a range than that
+    ranges = min(MAX_RANGES, -(-total // rows_per_range))
+    shares = [i / ranges for i in range(1, ranges)]
+    found = counts.agg(F.percentile_approx("score", shares, 10 * ranges).alias("cuts")).first()
+    cuts = sorted({float(c) for c in found["cuts"]} - {float("-inf"), float("inf")})
+    splits = [float("-inf"), *cuts, float("inf")]
+    if len(splits) < 3:
+        return counts.withColumn("_range", F.lit(0.0))
+    return Bucketizer(splits=splits, inputCol="score", outputCol="_range").transform(counts)
 
 
 def curve_areas(
-    counts: DataFrame,
-    by: Sequence[str] = (),
-    cut_from: DataFrame | None = None,
-    score: str = "score",
-    ranges: int = RANGES,
+    counts: DataFrame, by: Sequence[str] = (), rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """``(by..., positives, negatives, roc_auc, pr_auc)``, exact.
 
-    ``cut_from`` is the table to take score quantiles from: the unreduced rows
-    need no shuffle for it.  An area is null if its curve does not exist.
+    An area is null if its curve does not exist.
     """
     by = list(by)
-    ranged = _score_range(counts, cut_from if cut_from is not None else counts, score, ranges)
+    ensure_checkpoint_dir(counts.sparkSession)
+    stored = counts.withColumn("score", F.col("score").cast("double")).checkpoint(eager=True)
+    # rows without a score count for neither side
+    stored = stored.filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    ranged = _with_range(stored, by, rows_per_range)
     keys = [*by, "_range"]
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     above = whole.orderBy(F.col("_range").desc())
     earlier = above.rowsBetween(Window.unboundedPreceding, -1)
-    # at most ``ranges`` rows per group
+    # at most MAX_RANGES rows per group
     totals = (
         ranged.groupBy(*keys)
         .agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
@@ -143,16 +144,44 @@ def binary_areas(
     label: str = "label",
     positive: object = 1,
     by: Sequence[str] = (),
-    ranges: int = RANGES,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Areas for one positive class against all other rows."""
     counts = score_counts(scored, score, F.col(label) == F.lit(positive), by)
-    return curve_areas(counts, by, scored, score, ranges)
+    return curve_areas(counts, by, rows_per_range)
 
 
 def one_vs_rest_areas(
-    scored: DataFrame, score: str, label: str, classes: Sequence, ranges: int = RANGES
+    scored: DataFrame, score: str, label: str, classes: Sequence, rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """Areas with each class in turn as the positive one."""
     counts = one_vs_rest_counts(scored, score, label, classes)
-    return curve_areas(counts, ["label"], scored, score, ranges)
+    return curve_areas(counts, ["label"], rows_per_range)
+
+
+def class_score_areas(
+    scored: DataFrame, scores: str, label: str, classes: Sequence, rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
+    """Areas per class when every class has its own score.
+
+    ``scores`` is an array column in the order of ``classes``, such as the class
+    probabilities of a classifier.
+    """
+    sides = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("label"),
+                F.col(scores)[i].alias("score"),
+                (F.col(label) == F.lit(c)).alias("hit"),
+            )
+            for i, c in enumerate(classes)
+        ]
+    )
+    long = scored.select(F.inline(sides))
+    counts = score_counts(long, "score", F.col("hit"), ["label"])
+    return curve_areas(counts, ["label"], rows_per_range)
+
+
+def macro_areas(areas: DataFrame) -> DataFrame:
+    """Plain average over the classes that have an area."""
+    return areas.agg(F.avg("roc_auc").alias("roc_auc"), F.avg("pr_auc").alias("pr_auc"))

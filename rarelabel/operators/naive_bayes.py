@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import Features
-from .split import cell_is_test
-
 MODEL_BYTES = 256 << 20
 
 
@@ -52,13 +50,14 @@ def add_sums(sums: DataFrame, width: int, by: Sequence[str]) -> DataFrame:
     )
 
 
-def round_sums(
-    cell_sums: DataFrame, width: int, rounds: int, test: float, seed: int
-) -> DataFrame:
-    """Training sums of every hold-out round from sums per cell."""
-    every = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")
-    sides = cell_sums.select("cell", "label", "n", "sums", every)
-    train = sides.filter(~cell_is_test("cell", "round", test, seed))
+def round_sums(cell_sums: DataFrame, plan: DataFrame, width: int) -> DataFrame:
+    """Training sums of every hold-out round from sums per cell.
+
+    ``plan`` is the hold-out plan: one row per cell.
+    """
+    train = cell_sums.join(F.broadcast(plan.select("cell", "train")), "cell").select(
+        "label", "n", "sums", F.explode("train").alias("round")
+    )
     return add_sums(train, width, ["round"])
 
 
@@ -173,17 +172,10 @@ def score(
     return scored.select(*kept, *out)
 
 
-def held_out_rows(df: DataFrame, rounds: int, test: float, seed: int, cells: int) -> DataFrame:
+def held_out_rows(df: DataFrame, plan: DataFrame) -> DataFrame:
     """Each row once for every round in which its cell is held out: adds ``round``.
 
-    The table of held-out rounds has ``cells`` rows, fixed by the caller.
+    ``plan`` is the hold-out plan: one row per cell.
     """
-    spark = df.sparkSession
-    plan = (
-        spark.range(cells)
-        .select(F.col("id").cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-        .filter(cell_is_test("cell", "round", test, seed))
-        .groupBy("cell")
-        .agg(F.collect_list("round").alias("_rounds"))
-    )
-    return df.join(F.broadcast(plan), "cell").withColumn("round", F.explode("_rounds")).drop("_rounds")
+    held = df.join(F.broadcast(plan.select("cell", F.col("test").alias("_rounds"))), "cell")
+    return held.withColumn("round", F.explode("_rounds")).drop("_rounds")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import as_columns, below, uniform_hash
@@ -68,3 +68,23 @@ def with_cell(
 def cell_is_test(cell: Column | str, round_id: Column | str, test: float, seed: int) -> Column:
     """Whether a cell is held out in a round."""
     return uniform_hash(cell, round_id, seed=seed) < below(test)
+
+
+def holdout_plan(spark: SparkSession, rounds: int, cells: int, test: float, seed: int) -> DataFrame:
+    """``(cell, train, test)``: the rounds in which a cell is trained on or held out.
+
+    It has ``cells`` rows, whatever the size of the table it is joined to.
+    """
+    tasks = max(1, cells * rounds // 50_000)
+    every = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")
+    held = cell_is_test("cell", "round", test, seed)
+    return (
+        spark.range(0, cells, 1, tasks)
+        .select(F.col("id").cast("int").alias("cell"), every)
+        .withColumn("_held", held)
+        .groupBy("cell")
+        .agg(
+            F.collect_list(F.when(~F.col("_held"), F.col("round"))).alias("train"),
+            F.collect_list(F.when(F.col("_held"), F.col("round"))).alias("test"),
+        )
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.features import Features
 from ..operators import naive_bayes as nb
 from ..operators.counts import class_counts
-from ..operators.split import with_cell, with_fold
+from ..operators.split import holdout_plan, with_cell, with_fold
 
 CELLS = 4096
 
@@ -37,12 +37,11 @@ def naive_bayes_rounds(
     labels = list(class_counts(df, label))
     celled = with_cell(df, key, cells, seed)
     sums = nb.class_sums(celled, features, label, ["cell"])
+    plan = holdout_plan(df.sparkSession, rounds, cells, test, seed)
     model = nb.fit_from_sums(
-        nb.round_sums(sums, features.width, rounds, test, seed), features.width, ["round"], smoothing
-    )
-    rows = nb.held_out_rows(
-        celled.withColumn("label", F.col(label)), rounds, test, seed, cells
+        nb.round_sums(sums, plan, features.width), features.width, ["round"], smoothing
     )
+    rows = nb.held_out_rows(celled.withColumn("label", F.col(label)), plan)
     return nb.score(
         rows, model, features, labels, ["round"], rounds, ["round", "label"], probability_of
     )

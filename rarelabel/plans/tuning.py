@@ -139,7 +139,12 @@ def summarize(results: DataFrame, by: Sequence[str], value: str = "value") -> Da
 def best_params(
     results: DataFrame, params: str = "params", metric: str = "metric", larger_is_better: bool = True
 ) -> DataFrame:
-    """``(params, avg_metric)`` of the best candidate; ties go to the first in text order."""
+    """``(params, avg_metric)`` of the best candidate; ties go to the first in text order.
+
+    Averages that agree to twelve digits are ties: the last bits of a sum depend
+    on the order in which tasks finish.
+    """
     means = results.groupBy(params).agg(F.avg(metric).alias("avg_metric"))
-    order = F.col("avg_metric").desc() if larger_is_better else F.col("avg_metric").asc()
+    rounded = F.round("avg_metric", 12)
+    order = rounded.desc() if larger_is_better else rounded.asc()
     return means.orderBy(order, F.col(params)).limit(1)
