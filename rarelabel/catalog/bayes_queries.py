@@ -11,6 +11,7 @@ from ..operators.counts import class_counts
 from ..operators.curves import binary_areas
 from ..plans.holdout import naive_bayes_folds, naive_bayes_rounds
 from ..plans.tuning import best_params
+from ..sources.tables import spread
 from .base import LINE_KEY, LINE_KEY_SQL, SEED, below_sql, h60, query, r6, table
 
 NAMES = ["l_quantity", "l_discount", "l_tax", "late"]
@@ -19,10 +20,11 @@ ROUNDS, CELLS, FOLDS, LAMBDAS = 100, 4096, 10, (0.5, 1.0, 2.0)
 
 
 def _rows(spark, sf_dir):
-    return table(
+    rows = table(
         spark, sf_dir, "lineitem", *LINE_KEY, "l_quantity", "l_discount", "l_tax", "l_linestatus",
         "l_returnflag",
-    ).withColumn("late", (F.col("l_linestatus") == "F").cast("double"))
+    )
+    return spread(rows).withColumn("late", (F.col("l_linestatus") == "F").cast("double"))
 
 
 _BASE = f"""SELECT {h60(LINE_KEY_SQL)} AS h, l_returnflag AS label, l_quantity AS x0, l_discount AS x1,

@@ -45,12 +45,17 @@ def with_side(
     return df.withColumn(out, F.when(hashed < below(train), "train").otherwise("test"))
 
 
+def _remainder(key: str | Sequence[str], n: int, seed: int) -> Column:
+    number = (uniform_hash(*as_columns(key), seed=seed) % n).cast("int")
+    # ``%`` counts as nullable, and joins would hash again to filter nulls
+    return F.coalesce(number, F.lit(0))
+
+
 def with_fold(
     df: DataFrame, key: str | Sequence[str], k: int, seed: int, out: str = "fold"
 ) -> DataFrame:
     """Mark each row with a fold 0..k-1, fit for ``CrossValidator(foldCol=...)``."""
-    hashed = uniform_hash(*as_columns(key), seed=seed)
-    return df.withColumn(out, (hashed % k).cast("int"))
+    return df.withColumn(out, _remainder(key, k, seed))
 
 
 def with_cell(
@@ -61,8 +66,7 @@ def with_cell(
     Sums kept per cell serve every round and fold, so the rows are read once
     instead of once per round.
     """
-    hashed = uniform_hash(*as_columns(key), seed=seed)
-    return df.withColumn(out, (hashed % cells).cast("int"))
+    return df.withColumn(out, _remainder(key, cells, seed))
 
 
 def cell_is_test(cell: Column | str, round_id: Column | str, test: float, seed: int) -> Column:
