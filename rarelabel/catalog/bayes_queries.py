@@ -24,7 +24,7 @@ def _rows(spark, sf_dir):
         spark, sf_dir, "lineitem", *LINE_KEY, "l_quantity", "l_discount", "l_tax", "l_linestatus",
         "l_returnflag",
     )
-    return spread(rows).withColumn("late", (F.col("l_linestatus") == "F").cast("double"))
+    return spread(rows, LINE_KEY).withColumn("late", (F.col("l_linestatus") == "F").cast("double"))
 
 
 _BASE = f"""SELECT {h60(LINE_KEY_SQL)} AS h, l_returnflag AS label, l_quantity AS x0, l_discount AS x1,

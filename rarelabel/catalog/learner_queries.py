@@ -17,6 +17,7 @@ from ..operators.resample import oversample
 from ..operators.split import with_cell, with_fold, with_side
 from ..plans import learners, tuning
 from ..plans.report import evaluation_report
+from ..plans.selection import TopChiSquare
 from ..sources.tables import dataset_path
 from .base import SEED, query, table
 
@@ -197,6 +198,22 @@ def cv_rf_grid(spark, sf_dir):
     )
 
 
+@query("cv_selection_grid")
+def cv_selection_grid(spark, sf_dir):
+    """How many chi-square columns to keep, selected anew inside every fold."""
+    stages = [
+        TopChiSquare(outputCol="selected"),
+        learners.logistic_regression(featuresCol="selected"),
+    ]
+    return tuning.cross_validate(
+        with_fold(_documents(spark, sf_dir), "doc_id", 3, SEED),
+        Pipeline(stages=stages),
+        BinaryClassificationEvaluator(rawPredictionCol="probability", numBins=0),
+        tuning.param_grid({stages[0].k: [1, 2]}),
+        folds=3,
+    )
+
+
 @query("cv_mlp_grid")
 def cv_mlp_grid(spark, sf_dir):
     net = learners.perceptron([WIDTH, 10])

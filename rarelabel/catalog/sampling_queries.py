@@ -68,10 +68,9 @@ def repeated_splits(spark, sf_dir):
     sizes = celled.groupBy("cell", F.col("l_returnflag").alias("label")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    every = F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))).alias("round")
+    plan = split.holdout_plan(spark, ROUNDS, CELLS, 0.2, SEED)
     return (
-        sizes.select("*", every)
-        .withColumn("held_out", split.cell_is_test("cell", "round", 0.2, SEED))
+        split.round_rows(sizes, plan)
         .groupBy("round", "held_out", "label")
         .agg(F.sum("n").alias("n"))
     )

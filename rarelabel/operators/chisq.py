@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.features import Features
 from ..functions.probability import chi_square_p_value
@@ -41,11 +42,15 @@ def chi_square_scores(df: DataFrame, features: Features, label: str = "label") -
             term = term + (o - expected) * (o - expected) / expected
         cells = cells.select("pos", term.alias("_term"))
     else:
-        share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, n / rows)])
+        schema = T.StructType(
+            [T.StructField(label, df.schema[label].dataType), T.StructField("_share", T.DoubleType())]
+        )
+        shares = [(c, n / rows) for c, n in counts.items()]
         cells = (
             long.groupBy("pos", "value", label)
             .agg(F.count(F.lit(1)).alias("_o"))
-            .withColumn("_share", share[F.col(label)])
+            # one row per class: at most MAX_CLASSES rows, checked by class_counts
+            .join(F.broadcast(df.sparkSession.createDataFrame(shares, schema)), label)
             .groupBy("pos", "value")
             .agg(
                 F.sum("_o").alias("_r"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import Features
 MODEL_BYTES = 256 << 20
+MAX_TERMS = 2_000
 
 
 def class_sums(
@@ -145,30 +146,52 @@ def score(
     each executor.  Classes a group was not trained on are never predicted, and
     ties go to the lowest class.  ``probability_of`` adds ``probability``.
     """
-    size = models * len(labels) * (features.width + 1) * 8
-    flat = _one_row_models(model if by else model.withColumn("_all", F.lit(0)), by or ["_all"], labels)
-    if size <= MODEL_BYTES:
-        flat = F.broadcast(flat)
-    opened, values = features.open(df)
+    groups = list(by) or ["_all"]
     if not by:
-        opened = opened.withColumn("_all", F.lit(0))
-    joined = opened.join(flat, list(by) or ["_all"])
-    scores: list[Column] = []
-    for i in range(len(labels)):
-        total = F.col(f"_pi{i}")
-        for j, v in enumerate(values):
-            total = total + F.col(f"_th{i}")[j] * v
-        scores.append(total)
-    kept = list(keep) if keep is not None else df.columns
-    scored = joined.select(*kept, *[s.alias(f"_sc{i}") for i, s in enumerate(scores)])
-    named = [F.col(f"_sc{i}") for i in range(len(labels))]
-    best = F.greatest(*named) if len(named) > 1 else named[0]
-    choice = F.coalesce(*[F.when(s == best, F.lit(c)) for s, c in zip(named, labels)])
+        df, model = df.withColumn("_all", F.lit(0)), model.withColumn("_all", F.lit(0))
+    kept = list(keep) if keep is not None else [c for c in df.columns if c != "_all"]
+    small = models * len(labels) * (features.width + 1) * 8 <= MODEL_BYTES
+    opened, values = features.open(df)
+    if len(labels) * features.width <= MAX_TERMS:
+        flat = _one_row_models(model, groups, labels)
+        joined = opened.join(F.broadcast(flat) if small else flat, groups)
+        scores: list[Column] = []
+        for i in range(len(labels)):
+            total = F.col(f"_pi{i}")
+            for j, v in enumerate(values):
+                total = total + F.col(f"_th{i}")[j] * v
+            scores.append(total)
+        scored = joined.select(*kept, *[s.alias(f"_sc{i}") for i, s in enumerate(scores)])
+        named = [F.col(f"_sc{i}") for i in range(len(labels))]
+        best = F.greatest(*named) if len(named) > 1 else named[0]
+        choice = F.coalesce(*[F.when(s == best, F.lit(c)) for s, c in zip(named, labels)])
+        parts = [F.coalesce(F.exp(s - best), F.lit(0.0)) for s in named]
+        total = sum(parts[1:], parts[0])
+        mine = parts[list(labels).index(probability_of)] if probability_of is not None else None
+    else:
+        # too many terms to write out: loop over classes and positions in arrays
+        packed = model.groupBy(*groups).agg(
+            F.array_sort(F.collect_list(F.struct("label", "pi", "theta"))).alias("_models")
+        )
+        joined = opened.join(F.broadcast(packed) if small else packed, groups)
+        x = F.array(*values)
+        dot = F.transform(
+            "_models",
+            lambda m: F.struct(
+                m["label"].alias("c"),
+                F.aggregate(F.zip_with(m["theta"], x, lambda t, v: t * v), m["pi"], lambda a, p: a + p).alias("s"),
+            ),
+        )
+        scored = joined.select(*kept, dot.alias("_dots"))
+        scored = scored.withColumn("_best", F.array_max(F.transform("_dots", lambda d: d["s"])))
+        choice = F.filter("_dots", lambda d: d["s"] == F.col("_best"))[0]["c"]
+        total = F.aggregate("_dots", F.lit(0.0), lambda a, d: a + F.exp(d["s"] - F.col("_best")))
+        if probability_of is not None:
+            named = F.filter("_dots", lambda d: d["c"] == F.lit(probability_of))
+            mine = F.coalesce(F.exp(F.get(named, F.lit(0))["s"] - F.col("_best")), F.lit(0.0))
     out = [choice.alias("prediction")]
     if probability_of is not None:
-        parts = [F.coalesce(F.exp(s - best), F.lit(0.0)) for s in named]
-        mine = parts[list(labels).index(probability_of)]
-        out.append((mine / sum(parts[1:], parts[0])).alias("probability"))
+        out.append((mine / total).alias("probability"))
     return scored.select(*kept, *out)
 
 

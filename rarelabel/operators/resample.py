@@ -76,9 +76,30 @@ def _plan_rows(plan: DataFrame, label: str) -> list[dict[str, Any]]:
     return sorted(rows, key=lambda r: r[label])
 
 
+def _class_table(df: DataFrame, label: str, name: str, values: Mapping[Any, int]) -> DataFrame:
+    """One row per class, at most MAX_CLASSES as checked when planning: fit to broadcast."""
+    schema = T.StructType(
+        [T.StructField(label, df.schema[label].dataType), T.StructField(name, T.LongType())]
+    )
+    return F.broadcast(df.sparkSession.createDataFrame(list(values.items()), schema))
+
+
 # ---- numbering -------------------------------------------------------------
 
 
+def _narrow(df: DataFrame, label: str, keys: list[str], seed: int, bits: int) -> DataFrame:
+    """``(label, key..., _h, _b)``: hash and hash bucket of each row; null keys are an error."""
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    message = F.lit(f"row key ({', '.join(keys)}) is null")
+    hashed = F.when(missing, F.raise_error(message).cast("bigint")).otherwise(
+        uniform_hash(*keys, seed=seed)
+    )
+    narrow = df.select(label, *keys, hashed.alias("_h"))
+    return narrow.withColumn("_b", hash_bucket(F.col("_h"), bits) if bits else F.lit(0))
+
+
 def bucket_bits(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     """Hash bits so that one bucket of the largest class stays small."""
     return min(24, max(0, (max(1, rows) - 1) // rows_per_bucket).bit_length())
@@ -95,8 +116,7 @@ def number_within_class(
     is an error, because two such rows cannot be told apart.
     """
     keys = as_columns(key)
-    narrow = df.select(label, *keys, uniform_hash(*keys, seed=seed).alias("_h"))
-    narrow = narrow.withColumn("_b", hash_bucket(F.col("_h"), bits) if bits else F.lit(0))
+    narrow = _narrow(df, label, keys, seed, bits)
     local = Window.partitionBy(label, "_b").orderBy("_h", *keys)
     repeated = F.lit(True)
     for k in keys:
@@ -126,7 +146,7 @@ def number_within_class(
 def _draws(
     df: DataFrame, label: str, plan: list[dict[str, Any]], seed: int, per_copy_task: int
 ) -> DataFrame:
-    """``(label, _idx, _salt, _copies)``: how often each position is drawn.
+    """``(label, _idx[, _salt], _copies)``: how often each position is drawn.
 
     Draw numbers are made in chunks on many tasks.  If few rows are drawn very
     often, ``_salt`` splits the copies of one row over several join tasks.
@@ -157,12 +177,12 @@ def _draws(
             )
         ),
     )
-    index = F.pmod(uniform_hash(label, "_draw", seed=seed), F.col("_n"))
-    return (
-        table.select(label, index.alias("_idx"), F.pmod("_draw", "_salts").alias("_salt"))
-        .groupBy(label, "_idx", "_salt")
-        .agg(F.count(F.lit(1)).alias("_copies"))
-    )
+    index = F.coalesce(F.pmod(uniform_hash(label, "_draw", seed=seed), F.col("_n")), F.lit(0))
+    drawn = table.select(label, index.alias("_idx"), F.pmod("_draw", "_salts").alias("_salt"))
+    by = [label, "_idx"]
+    if any(_salts(p, per_copy_task) > 1 for p in plan):
+        by.append("_salt")
+    return drawn.groupBy(*by).agg(F.count(F.lit(1)).alias("_copies"))
 
 
 def _salts(row: Mapping[str, Any], per_copy_task: int) -> int:
@@ -196,17 +216,16 @@ def draw_with_replacement(
     bits = bucket_bits(max(p["n"] for p in wanted), rows_per_bucket)
     numbered = number_within_class(df_wanted, label, keys, seed, bits)
     picked = _draws(df, label, wanted, seed, per_copy_task).join(numbered, [label, "_idx"])
-    picked = picked.select(label, *keys, "_salt", "_copies")
-    salted = [p for p in wanted if _salts(p, per_copy_task) > 1]
+    salted = any(_salts(p, per_copy_task) > 1 for p in wanted)
     on = [label, *keys]
     if salted:
-        salts = F.lit(1)
-        for p in salted:
-            salts = F.when(F.col(label) == F.lit(p[label]), _salts(p, per_copy_task)).otherwise(salts)
-        df_wanted = df_wanted.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts.cast("bigint") - 1))
+        salts = _class_table(df, label, "_salts", {p[label]: _salts(p, per_copy_task) for p in wanted})
+        first = F.lit(0).cast("bigint")
+        df_wanted = df_wanted.join(salts, label).withColumn(
+            "_salt", F.explode(F.sequence(first, F.col("_salts") - 1))
         )
         on.append("_salt")
+    picked = picked.select(*on, "_copies")
     return (
         df_wanted.join(picked, on)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
@@ -244,25 +263,22 @@ def keep_smallest_hashes(
     bits = bucket_bits(max(p["n"] for p in cut), rows_per_bucket)
     hashed = uniform_hash(*keys, seed=seed)
     labels = [p[label] for p in cut]
-    narrow = df.filter(F.col(label).isin(labels)).select(label, *keys, hashed.alias("_h"))
-    narrow = narrow.withColumn("_b", hash_bucket(F.col("_h"), bits) if bits else F.lit(0))
-    want = F.lit(None).cast("bigint")
-    for p in cut:
-        want = F.when(F.col(label) == F.lit(p[label]), F.lit(p["draws"])).otherwise(want)
+    narrow = _narrow(df.filter(F.col(label).isin(labels)), label, keys, seed, bits)
+    want = _class_table(df, label, "_want", {p[label]: p["draws"] for p in cut})
     if bits:
         upto = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
         edges = (
             narrow.groupBy(label, "_b")
             .agg(F.count(F.lit(1)).alias("_n"))
             .withColumn("_upto", F.sum("_n").over(upto))
-            .withColumn("_want", want)
+            .join(want, label)
             .filter((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
             .select(label, "_b", (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_left"))
         )
         # one bucket per class: at most MAX_CLASSES rows, checked when planning
         edge_rows = narrow.join(F.broadcast(edges), [label, "_b"])
     else:
-        edge_rows = narrow.withColumn("_left", want)
+        edge_rows = narrow.join(want.withColumnRenamed("_want", "_left"), label)
     order = Window.partitionBy(label, "_b").orderBy("_h", *keys)
     cuts = (
         edge_rows.withColumn("_rn", F.row_number().over(order))

@@ -92,3 +92,13 @@ def holdout_plan(spark: SparkSession, rounds: int, cells: int, test: float, seed
             F.collect_list(F.when(F.col("_held"), F.col("round"))).alias("test"),
         )
     )
+
+
+def round_rows(cell_table: DataFrame, plan: DataFrame) -> DataFrame:
+    """Each row of a per-cell table once for every round: adds ``(round, held_out)``."""
+
+    def tagged(side: str, held: bool) -> Column:
+        return F.transform(side, lambda r: F.struct(r.alias("round"), F.lit(held).alias("held_out")))
+
+    sides = F.concat(tagged("train", False), tagged("test", True))
+    return cell_table.join(F.broadcast(plan), "cell").select(*cell_table.columns, F.inline(sides))

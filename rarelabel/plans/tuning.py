@@ -7,6 +7,7 @@ one row per (parameters, fold or round, metric).
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from contextlib import nullcontext
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
@@ -84,11 +85,10 @@ def cross_validate(
         for fold in range(folds):
             train = held.filter(F.col(fold_col) != fold)
             test = held.filter(F.col(fold_col) == fold)
-            if resample is not None:
-                train = resample(train)
-            with held_in_memory(train) as train_held:
+            # without resampling the training side is only a filter on the held table
+            with held_in_memory(resample(train)) if resample else nullcontext(train) as ready:
 
-                def one(params: Mapping[Any, Any], train=train_held, test=test) -> float:
+                def one(params: Mapping[Any, Any], train=ready, test=test) -> float:
                     return float(evaluator.evaluate(estimator.fit(train, dict(params)).transform(test)))
 
                 found = _run([lambda p=p: one(p) for p in grid], parallelism)
@@ -112,9 +112,9 @@ def repeated_holdout(
     def one(round_id: int, held: DataFrame) -> list[tuple[int, str, float]]:
         is_test = cell_is_test(cell_col, F.lit(round_id), test, seed)
         train = held.filter(~is_test)
-        if resample is not None:
-            train = resample(train)
-        with held_in_memory(estimator.fit(train).transform(held.filter(is_test))) as scored:
+        with held_in_memory(resample(train)) if resample else nullcontext(train) as ready:
+            model = estimator.fit(ready)
+        with held_in_memory(model.transform(held.filter(is_test))) as scored:
             return [(round_id, name, float(e.evaluate(scored))) for name, e in evaluators.items()]
 
     with held_in_memory(df) as held:

@@ -38,14 +38,14 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a table stored in fewer pieces than there are cores.
+def spread(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Deal out the rows of a stored table with fewer pieces than there are cores.
 
     A single-file table is read by a single task; steps that compute much for
     each row should not stay there.  Tables in many pieces are left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

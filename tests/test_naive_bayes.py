@@ -97,3 +97,15 @@ def test_folds_equal_one_fit_per_fold(table):
             out = nb.score(folded.filter(F.col("fold") == k), model, FEATURES, [0.0, 1.0, 2.0], keep=["label"])
             want += [(lam, k, *t) for t in rows(out.groupBy("label", "prediction").count())]
     assert got == sorted(want)
+
+
+def test_wide_models_take_the_array_form(table, monkeypatch):
+    model = nb.fit(table.filter("label < 2"), FEATURES)
+    written = nb.score(table, model, FEATURES, [0.0, 1.0, 2.0], keep=["id"], probability_of=1.0)
+    before = rows(written)
+    monkeypatch.setattr(nb, "MAX_TERMS", 1)
+    looped = nb.score(table, model, FEATURES, [0.0, 1.0, 2.0], keep=["id"], probability_of=1.0)
+    for a, b in zip(before, rows(looped)):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-12
+    absent = nb.score(table, model, FEATURES, [0.0, 1.0, 2.0], keep=["id"], probability_of=2.0)
+    assert rows(absent.select("probability").distinct()) == [(0.0,)]

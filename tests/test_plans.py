@@ -149,3 +149,24 @@ def test_held_table_is_released(spark, vectors):
     with learners.held_in_memory(df) as held:
         assert held.storageLevel.useMemory
     assert not df.storageLevel.useMemory
+
+
+def test_selection_is_fitted_inside_each_fold(spark, tmp_path):
+    from rarelabel.plans.selection import TopChiSquare
+
+    i = F.col("id")
+    df = spark.range(90).select(
+        "id",
+        (i % 2).cast("double").alias("label"),
+        (i % 3).cast("double").alias("noise"),
+        (i % 2 * 4).cast("double").alias("good"),
+    )
+    rows_in = with_fold(assemble(df, ["noise", "good"], keep=["id"]), "id", 3, 1)
+    pick = TopChiSquare(k=1)
+    steps = Pipeline(stages=[pick, learners.logistic_regression(featuresCol="selected", regParam=0.01)])
+    model = steps.fit(rows_in)
+    assert model.stages[0].getIndices() == [1]
+    learners.save_model(model, str(tmp_path / "m"))
+    assert learners.load_model(str(tmp_path / "m")).stages[0].getIndices() == [1]
+    out = tuning.cross_validate(rows_in, steps, BinaryClassificationEvaluator(), tuning.param_grid({pick.k: [1, 2]}), 3)
+    assert out.count() == 6 and out.filter("metric < 0.99").count() == 0

@@ -149,6 +149,20 @@ def test_repeated_keys_are_refused(classes):
         resample.oversample(df.union(df), "label", "id", 1).collect()
 
 
+def test_null_keys_are_refused(classes):
+    df = classes(9, 3).withColumn("id", F.when(F.col("id") > 0, F.col("id")))
+    with pytest.raises(Exception, match="is null"):
+        resample.undersample(df, "label", "id", 1, replace=True).collect()
+
+
+def test_round_rows_list_every_round(spark):
+    plan = split.holdout_plan(spark, 5, 8, 0.3, 2)
+    cells = spark.range(8).selectExpr("cast(id as int) cell")
+    got = {(r.cell, r.round): r.held_out for r in split.round_rows(cells, plan).collect()}
+    want = {(r.cell, q): True for r in plan.collect() for q in r.test}
+    assert len(got) == 40 and {k for k, v in got.items() if v} == set(want)
+
+
 def test_composite_keys_and_extra_columns(classes):
     df = classes(40, 6).select("label", (F.col("id") % 5).alias("a"), (F.col("id") / 5).cast("int").alias("b"), F.col("id").alias("x"))
     out = resample.undersample(df, "label", ["a", "b"], 1)

@@ -154,5 +154,5 @@ def test_long_form_is_the_same_for_columns_and_vectors(spark):
 def test_spread_only_touches_tables_in_few_pieces(spark):
     cores = spark.sparkContext.defaultParallelism
     many = spark.range(0, 100, 1, cores)
-    assert tables.spread(many) is many
-    assert tables.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == cores
+    assert tables.spread(many, ["id"]) is many
+    assert tables.spread(spark.range(0, 100, 1, 1), ["id"]).rdd.getNumPartitions() == cores
