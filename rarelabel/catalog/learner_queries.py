@@ -244,3 +244,47 @@ def lr_repeated_holdout(spark, sf_dir):
         seed=SEED,
     )
     return tuning.summarize(results, ["metric"])
+
+
+@query("lr_repeated_cv")
+def lr_repeated_cv(spark, sf_dir):
+    """Cross-validation inside every hold-out: the penalty is chosen on training rows."""
+    rows = with_cell(_documents(spark, sf_dir), "doc_id", 256, SEED)
+    regression = learners.logistic_regression()
+    inner = tuning.cross_validator(
+        regression,
+        BinaryClassificationEvaluator(rawPredictionCol="probability", numBins=0),
+        tuning.param_grid({regression.regParam: [0.1, 1.0]}),
+        folds=3,
+        seed=SEED,
+    )
+    evaluators = {"roc_auc": BinaryClassificationEvaluator(rawPredictionCol="probability", numBins=0)}
+    return tuning.repeated_holdout(rows, inner, evaluators, rounds=2, seed=SEED, parallelism=2)
+
+
+@query("multinomial_repeated_holdout")
+def multinomial_repeated_holdout(spark, sf_dir):
+    rows = with_cell(_vectors(spark, sf_dir), "vec_id", 256, SEED)
+    results = tuning.repeated_holdout(
+        rows,
+        learners.multinomial_regression(maxIter=10),
+        {"accuracy": MulticlassClassificationEvaluator(metricName="accuracy")},
+        rounds=5,
+        seed=SEED,
+    )
+    return tuning.summarize(results, ["metric"])
+
+
+@query("rf_repeated_holdout")
+def rf_repeated_holdout(spark, sf_dir):
+    """Forests on oversampled training sides, judged against the label index."""
+    rows = _vectors(spark, sf_dir).withColumn("label", F.col("label").cast("string"))
+    labels = learners.fit_label_index(rows).labels
+    return tuning.repeated_holdout(
+        with_cell(rows, "vec_id", 256, SEED),
+        learners.forest_pipeline(labels, SEED, trees=10),
+        {"f1": MulticlassClassificationEvaluator(labelCol="indexedLabel", metricName="f1")},
+        rounds=3,
+        seed=SEED,
+        resample=lambda train: oversample(train, "label", "vec_id", SEED),
+    )

@@ -14,6 +14,7 @@ from ..functions.ranking import ensure_checkpoint_dir, number_in_order
 MISSING = "__missing__"
 SINGLE_TASK_VALUES = 1_000_000
 BROADCAST_VALUES = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def missing_as_category(column: Column, tokens: Sequence[str] = ()) -> Column:
@@ -31,12 +32,13 @@ def combine_flags(*names: str) -> Column:
 class Vocabulary:
     """Values of each string column, numbered by descending frequency.
 
-    ``table`` has ``(column, value, n, idx)``; ``sizes`` counts values by column.
+    ``table`` has ``(column, value, n, idx)``; ``sizes`` counts values by column
+    and ``heads`` says how many of them are small enough together to broadcast.
     """
 
     table: DataFrame
     sizes: dict[str, int]
-    broadcast_values: int = BROADCAST_VALUES
+    heads: dict[str, int]
 
     def values(self, column: str) -> DataFrame:
         return self.table.filter(F.col("column") == column).select("value", "n", "idx")
@@ -73,12 +75,13 @@ class Vocabulary:
             F.col("value").alias("_value"), F.col("idx").cast("double").alias(index)
         )
         match = F.col(f"`{column}`").cast("string") == F.col("_value")
-        if size <= self.broadcast_values:
+        limit = self.heads[column]
+        if size <= limit:
             return df.join(F.broadcast(words), match, "left").drop("_value")
-        # Frequent values have the smallest indexes: at most ``broadcast_values``
-        # of them are broadcast and take the hot keys out of the shuffle join.
-        head = words.filter(F.col(index) < self.broadcast_values)
-        tail = words.filter(F.col(index) >= self.broadcast_values)
+        # Frequent values have the smallest indexes: the first ``limit`` of them
+        # are broadcast and take the hot keys out of the shuffle join.
+        head = words.filter(F.col(index) < limit)
+        tail = words.filter(F.col(index) >= limit)
         tried = df.join(F.broadcast(head), match, "left").drop("_value")
         known = tried.filter(F.col(index).isNotNull() | F.col(f"`{column}`").isNull())
         rare = tried.filter(F.col(index).isNull() & F.col(f"`{column}`").isNotNull()).drop(index)
@@ -94,11 +97,14 @@ def fit_vocabulary(
     columns: Sequence[str],
     single_task_values: int = SINGLE_TASK_VALUES,
     broadcast_values: int = BROADCAST_VALUES,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> Vocabulary:
     """Number the values of all ``columns`` in one pass over the table.
 
     Index 0 is the most frequent value; equal counts are ordered by value.
-    Booleans are indexed by their text.
+    Booleans are indexed by their text.  At most ``broadcast_values`` values of a
+    column are ever broadcast, fewer if the longest of them could make that more
+    than ``broadcast_bytes``.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -116,8 +122,15 @@ def fit_vocabulary(
         .agg(F.count(F.lit(1)).alias("n"))
         .checkpoint(eager=True)
     )
-    sizes = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
-    sizes = {c: sizes.get(c, 0) for c in columns}
+    measured = counts.groupBy("column").agg(
+        F.count(F.lit(1)).alias("values"), F.max(F.octet_length("value")).alias("longest")
+    )
+    found = {r["column"]: r for r in measured.collect()}
+    sizes = {c: found[c]["values"] if c in found else 0 for c in columns}
+    heads = {
+        c: min(broadcast_values, broadcast_bytes // (found[c]["longest"] + 64)) if c in found else 0
+        for c in columns
+    }
     order = [F.col("n").desc(), F.col("value").asc()]
     if max(sizes.values(), default=0) <= single_task_values:
         within = Window.partitionBy("column").orderBy(*order)
@@ -129,7 +142,7 @@ def fit_vocabulary(
             start = F.when(F.col("column") == column, seen).otherwise(start)
             seen += sizes[column]
         table = placed.select("column", "value", "n", (F.col("_number") - start).alias("idx"))
-    return Vocabulary(table, sizes, broadcast_values)
+    return Vocabulary(table, sizes, heads)
 
 
 def assemble(

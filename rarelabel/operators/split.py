@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import as_columns, below, uniform_hash
 
+MAX_PLAN_ENTRIES = 10_000_000
+
 
 def split_column(key: str | Sequence[str], weights: Sequence[float], seed: int) -> Column:
     """Number of the split a row falls in; ``weights`` are normalised to sum 1."""
@@ -77,8 +79,11 @@ def cell_is_test(cell: Column | str, round_id: Column | str, test: float, seed:
 def holdout_plan(spark: SparkSession, rounds: int, cells: int, test: float, seed: int) -> DataFrame:
     """``(cell, train, test)``: the rounds in which a cell is trained on or held out.
 
-    It has ``cells`` rows, whatever the size of the table it is joined to.
+    It has ``cells`` rows and ``cells * rounds`` entries, whatever the size of the
+    table it is joined to.
     """
+    if cells * rounds > MAX_PLAN_ENTRIES:
+        raise ValueError(f"{cells} cells and {rounds} rounds make too large a plan; use fewer cells")
     tasks = max(1, cells * rounds // 50_000)
     every = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")
     held = cell_is_test("cell", "round", test, seed)

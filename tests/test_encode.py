@@ -47,6 +47,20 @@ def test_large_vocabularies_take_the_parallel_path(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_long_values_shrink_the_broadcast(spark):
+    df = spark.range(40).select(F.repeat((F.col("id") % 10).cast("string"), 1000).alias("v"))
+    found = encode.fit_vocabulary(df, ["v"], broadcast_bytes=5000)
+    assert found.heads["v"] == 4
+    whole = encode.fit_vocabulary(df, ["v"])
+    assert rows(found.transform(df)) == rows(whole.transform(df))
+
+
+def test_column_of_nulls_has_no_values(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "id int, v string")
+    found = encode.fit_vocabulary(df, ["v"])
+    assert found.sizes == {"v": 0} and rows(found.transform(df, "keep")) == [(1, 0.0), (2, 0.0)]
+
+
 def test_number_in_order_matches_a_single_sort(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
     placed = rows(number_in_order(df, [F.desc("k")], "i"), "i", "k")
