@@ -8,6 +8,7 @@ each round's training side.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -145,12 +146,27 @@ def score(
     groups ``model`` holds; together with the width they bound what is sent to
     each executor.  Classes a group was not trained on are never predicted, and
     ties go to the lowest class.  ``probability_of`` adds ``probability``.
+
+    Models too large to send at once are sent in shares, each to its own rows:
+    joining on the few group keys by a shuffle would pile rows up on a few tasks.
     """
+    shares = -(-models * len(labels) * (features.width + 1) * 8 // MODEL_BYTES)
+    if by and shares > 1:
+        parts = min(shares, models)
+        mine = F.pmod(F.hash(*by), F.lit(parts))
+        done = [
+            score(
+                df.filter(mine == i), model.filter(mine == i), features, labels, by,
+                -(-models // shares), keep, probability_of,
+            )
+            for i in range(parts)
+        ]
+        return reduce(DataFrame.unionByName, done)
     groups = list(by) or ["_all"]
     if not by:
         df, model = df.withColumn("_all", F.lit(0)), model.withColumn("_all", F.lit(0))
     kept = list(keep) if keep is not None else [c for c in df.columns if c != "_all"]
-    small = models * len(labels) * (features.width + 1) * 8 <= MODEL_BYTES
+    small = shares <= 1
     opened, values = features.open(df)
     if len(labels) * features.width <= MAX_TERMS:
         flat = _one_row_models(model, groups, labels)

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.features import numeric_fields
 
@@ -96,7 +95,3 @@ def profile(df: DataFrame, distinct: str = "approx") -> DataFrame:
 def first_rows(df: DataFrame, key: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows in key order: a per-task top-n, then one small merge."""
     return df.orderBy(*key).limit(n)
-
-
-def class_label_type(df: DataFrame, label: str) -> T.DataType:
-    return df.schema[label].dataType

@@ -109,3 +109,13 @@ def test_wide_models_take_the_array_form(table, monkeypatch):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-12
     absent = nb.score(table, model, FEATURES, [0.0, 1.0, 2.0], keep=["id"], probability_of=2.0)
     assert rows(absent.select("probability").distinct()) == [(0.0,)]
+
+
+def test_large_models_are_sent_in_shares(table, monkeypatch):
+    def run():
+        out = naive_bayes_rounds(table, FEATURES, "label", "id", 6, 3, cells=32)
+        return rows(out.groupBy("round", "label", "prediction").count())
+
+    before = run()
+    monkeypatch.setattr(nb, "MODEL_BYTES", 2 * 3 * 4 * 8)
+    assert run() == before
