@@ -151,13 +151,18 @@ def score(
     joining on the few group keys by a shuffle would pile rows up on a few tasks.
     """
     shares = -(-models * len(labels) * (features.width + 1) * 8 // MODEL_BYTES)
-    if by and shares > 1:
+    if by and shares > 1 and models > 1:
         parts = min(shares, models)
-        mine = F.pmod(F.hash(*by), F.lit(parts))
+        # one row per model: far smaller than the models themselves
+        order = Window.partitionBy(F.lit(0)).orderBy(*by)
+        share = ((F.row_number().over(order) - 1) % parts).alias("_share")
+        dealt = F.broadcast(model.select(*by).distinct().select(*by, share))
+        df, model = df.join(dealt, list(by)), model.join(dealt, list(by))
+        mine = F.col("_share")
         done = [
             score(
-                df.filter(mine == i), model.filter(mine == i), features, labels, by,
-                -(-models // shares), keep, probability_of,
+                df.filter(mine == i).drop("_share"), model.filter(mine == i).drop("_share"),
+                features, labels, by, -(-models // parts), keep, probability_of,
             )
             for i in range(parts)
         ]
