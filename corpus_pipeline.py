@@ -11,13 +11,12 @@ import sys
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from rarelabel.functions.ranking import scratch_path  # noqa: E402
 from rarelabel.llm import exact_dedup, minhash, mixing, packing, toxicity  # noqa: E402
-from rarelabel.llm.common import bounded, stored  # noqa: E402
+from rarelabel.llm.common import without  # noqa: E402
 
 #: The classifier of the first stage and the tokenizer of the last cannot be stated in SQL.
 ORACLE_SQL = None
@@ -26,9 +25,7 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the limit of rejection."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rejected = toxicity.toxicity(docs, docs, labels).where("predicted = 1").select(F.col("row").alias("_row_number"))
-    numbered = docs.withColumn("_row_number", F.monotonically_increasing_id())
-    return numbered.join(bounded(stored(rejected)), "_row_number", "left_anti").drop("_row_number")
+    return without(docs, toxicity.toxicity(docs, docs, labels).where("predicted = 1").select("row"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

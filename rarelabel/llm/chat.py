@@ -62,21 +62,19 @@ def _runs(links: DataFrame) -> DataFrame:
     """(head, run, tail, above): unary runs as arrays of rows, and the row above each head."""
     replies = links.where("parent is not null").groupBy(F.col("parent").alias("_p")).count()
     forks = replies.where("count > 1").select(F.col("_p").alias("parent"), F.lit(True).alias("fork"))
-    marked = links.join(forks, "parent", "left")
-    is_head = F.col("parent").isNull() | F.col("fork")
-    jump = stored(
-        marked.select("row", F.when(is_head, F.col("row")).otherwise(F.col("parent")).alias("up"), F.when(is_head, 0).otherwise(1).cast("bigint").alias("far"))
-    )
+    roots = links.where("parent is null").select("row", F.lit(True).alias("is_head"), "parent")
+    marked = links.where("parent is not null").join(forks, "parent", "left").select("row", F.coalesce("fork", F.lit(False)).alias("is_head"), "parent")
+    up, far = F.when(F.col("is_head"), F.col("row")).otherwise(F.col("parent")), F.when(F.col("is_head"), 0).otherwise(1).cast("bigint")
+    jump = stored(roots.unionByName(marked).select("row", up.alias("up"), far.alias("far"), (~F.col("is_head")).alias("open")))
     rows, reach = jump.count(), 1
-    while True:
-        above = jump.select(F.col("row").alias("up"), F.col("up").alias("_up"), F.col("far").alias("_far"))
-        jump = stored(jump.join(above, "up").select("row", F.col("_up").alias("up"), (F.col("far") + F.col("_far")).alias("far"), (F.col("_far") > 0).alias("_moved")))
-        if not jump.where("_moved").limit(1).count():
-            break
-        reach *= 2
+    while not jump.where("open").isEmpty():
         if reach > 2 * rows:
             raise ValueError("replies form a cycle")
-        jump = jump.drop("_moved")
+        reach *= 2
+        # a row is done once it points to a head; only the others are joined again
+        above = jump.select(F.col("row").alias("up"), F.col("up").alias("_up"), F.col("far").alias("_far"))
+        moved = jump.where("open").join(above, "up").select("row", F.col("_up").alias("up"), (F.col("far") + F.col("_far")).alias("far"), (F.col("_far") > 0).alias("open"))
+        jump = stored(jump.where("not open").unionByName(moved))
     runs = jump.groupBy(F.col("up").alias("head")).agg(F.sort_array(F.collect_list(F.struct("far", "row"))).alias("run"))
     runs = runs.select("head", F.col("run.row").alias("run"), F.element_at("run.row", -1).alias("tail"))
     ends = links.select(F.col("row").alias("head"), F.col("parent").alias("above"), "conv_id")

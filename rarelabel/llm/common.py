@@ -50,3 +50,27 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     Beyond that it is joined by shuffle; the answer is the same.
     """
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with its rows numbered as in ``row`` of the operators, and the column's name.
+
+    ``docs`` must be a table or stored: then each read gives the same numbers.
+    """
+    name = fresh(docs, "_row_number")
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the numbers in ``rows`` (one column), all columns kept."""
+    counted, name = numbered(docs)
+    gone = stored(rows.toDF(name))
+    return counted.join(bounded(gone), name, "left_anti").drop(name)

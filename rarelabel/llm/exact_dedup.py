@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded, salted_join, stored
+from .common import ascii_lower, salted_join, stored, without
 
 BLOCK_BITS = 32_768  # what one value of bitmap_construct_agg holds
 BITS_PER_ROW = 16
@@ -107,6 +107,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     Only numbers of dropped rows travel; see ``common.bounded``.
     """
-    numbered = docs.withColumn("_row_number", F.monotonically_increasing_id())
-    dropped = stored(duplicate_groups(docs, id_col, text).where(~F.col("kept")).select(F.col("row").alias("_row_number")))
-    return numbered.join(bounded(dropped), "_row_number", "left_anti").drop("_row_number")
+    return without(docs, duplicate_groups(docs, id_col, text).where(~F.col("kept")).select("row"))

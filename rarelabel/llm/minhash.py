@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hyperminhash as sketch
-from .common import bounded, salted_join, stored
+from .common import bounded, salted_join, stored, without
 from .components import components
 
 WORDS = 5
@@ -220,6 +220,4 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: tuple[int,
 
 def near_dedup(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all of their columns."""
-    numbered = docs.withColumn("_row_number", F.monotonically_increasing_id())
-    gone = stored(near_duplicates(docs, words, similarity, id_col, text).where(~F.col("stays")).select(F.col("row").alias("_row_number")))
-    return numbered.join(bounded(gone), "_row_number", "left_anti").drop("_row_number")
+    return without(docs, near_duplicates(docs, words, similarity, id_col, text).where(~F.col("stays")).select("row"))

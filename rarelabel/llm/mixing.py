@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rarelabel.functions.hashing import HASH_SPACE, uniform_hash
 from rarelabel.functions.ranking import number_in_order
 
-from .common import WORD, bounded, stored
+from .common import WORD, bounded, fresh, numbered, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
@@ -71,11 +71,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     targets = source_targets(by_source.select("source", "source_size"), weights, most)
     # the number of a row among all sources, and that of the first row of its source
-    numbered = number_in_order(sized, [F.col("source").asc_nulls_last(), F.col("size"), uniform_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed=seed), F.col("row")], "_number")
+    placed = number_in_order(sized, [F.col("source").asc_nulls_last(), F.col("size"), uniform_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed=seed), F.col("row")], "_number")
     goals = targets.withColumnRenamed("source", "_source")
-    firsts = stored(numbered.groupBy("source").agg(F.min("_number").alias("_first")))
+    firsts = stored(placed.groupBy("source").agg(F.min("_number").alias("_first")))
     firsts = stored(firsts.join(goals, F.col("source").eqNullSafe(F.col("_source"))).drop("source"))
-    rows = numbered.join(bounded(firsts), F.col("source").eqNullSafe(F.col("_source")))
+    rows = placed.join(bounded(firsts), F.col("source").eqNullSafe(F.col("_source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = uniform_hash(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")), seed=seed) / float(HASH_SPACE)
     place = F.col("_number") - F.col("_first")
@@ -90,7 +90,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Only (row, copies) travels, and only for rows taken other than once.
     """
-    numbered = docs.withColumn("_row_number", F.monotonically_increasing_id())
-    changed = stored(mix(docs, **options).where("copies <> 1").select(F.col("row").alias("_row_number"), F.col("copies").alias("_copies")))
-    joined = numbered.join(bounded(changed), "_row_number", "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies", "_row_number")
+    counted, number = numbered(docs)
+    copies = fresh(docs, "_copies")
+    changed = stored(mix(docs, **options).where("copies <> 1").select(F.col("row").alias(number), F.col("copies").alias(copies)))
+    joined = counted.join(bounded(changed), number, "left").withColumn(copies, F.coalesce(copies, F.lit(1)))
+    each = F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies)
+    return joined.where(F.col(copies) > 0).select(*docs.columns, each).drop(copies)
