@@ -16,7 +16,8 @@ import numpy as np
 
 CHAIN = 64
 PREFIXES = (3, 4, 5, 6)
-_STEPS, _RATE, _DECAY = 60, 0.25, 2e-4
+_STEPS, _RATE, _DECAY = 50, 0.25, 2e-4
+_MOST = 30.0  # of a weight's size where odds are taken
 _RARE = 3  # a feature must occur in so many words' uses
 MEMO_WORDS = 300_000
 
@@ -29,7 +30,7 @@ def features(word: str) -> list[str]:
     """Of one raw word; names start with their kind."""
     w = normal(word)
     kinds = ["w" + w, *("p" + w[:k] for k in PREFIXES if len(w) >= k), "s" + w[-3:]]
-    if any(c.isdigit() for c in w):
+    if not w.isalpha() and any(map(str.isdigit, w)):
         kinds.append("#")
     if word.isupper() and len(w) > 1:
         kinds.append("A")
@@ -37,38 +38,38 @@ def features(word: str) -> list[str]:
 
 
 def chains(evidence: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all texts, one after another, as a table of chains; (table, row, column)."""
+    """Words of all texts, one after another, as a table with a column per chain; (table, place, chain)."""
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    place = np.arange(len(evidence)) - np.repeat(starts, sizes)
+    at = np.arange(len(evidence)) - np.repeat(starts, sizes)
     per_text = -(-sizes // CHAIN)
     first = np.concatenate([[0], np.cumsum(per_text)[:-1]]).astype(np.int64)
-    row = np.repeat(first, sizes) + place // CHAIN
-    column = place % CHAIN
-    table = np.zeros((int(per_text.sum()), CHAIN))
-    table[row, column] = evidence
-    return table, row, column
+    chain = np.repeat(first, sizes) + at // CHAIN
+    place = at % CHAIN
+    table = np.zeros((CHAIN, int(per_text.sum())))
+    table[place, chain] = evidence
+    return table, place, chain
 
 
 def marginals(table: np.ndarray, lengths: np.ndarray, stay: float, enter: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log odds of toxic at each place, and expected numbers of toxic-toxic and clean-toxic steps.
 
-    Transition weights: ``stay`` (toxic to toxic), ``enter`` (clean to toxic), 0 otherwise.
+    Transition weights: ``stay`` (toxic to toxic), ``enter`` (clean to toxic), 0
+    otherwise.  Messages are odds, so a step is a few products and one quotient.
     """
-    rows, width = table.shape
-    ahead, behind = np.zeros_like(table), np.zeros_like(table)
-    step = lambda x: np.logaddexp(x + stay, enter) - np.logaddexp(x, 0.0)
-    back = lambda x: np.logaddexp(x + stay, 0.0) - np.logaddexp(x + enter, 0.0)
-    ahead[:, 0] = table[:, 0]
-    for t in range(1, width):
-        ahead[:, t] = table[:, t] + step(ahead[:, t - 1])
-    for t in range(width - 2, -1, -1):
-        behind[:, t] = np.where(t + 1 < lengths, back(table[:, t + 1] + behind[:, t + 1]), 0.0)
-    odds = ahead + behind
-    follow = table[:, 1:] + behind[:, 1:]
-    inside = np.arange(1, width)[None, :] < lengths[:, None]
-    both, entered, left = ahead[:, :-1] + follow + stay, follow + enter, ahead[:, :-1]
-    top = np.logaddexp(np.logaddexp(both, entered), np.logaddexp(left, 0.0))
-    return odds, (np.exp(both - top) * inside).sum(), (np.exp(entered - top) * inside).sum()
+    odds = np.exp(np.clip(table, -_MOST, _MOST))
+    s, e = np.exp(np.clip([stay, enter], -_MOST, _MOST))
+    ahead, behind = np.empty_like(odds), np.ones_like(odds)
+    ahead[0] = odds[0]
+    for t in range(1, len(odds)):
+        ahead[t] = odds[t] * (ahead[t - 1] * s + e) / (ahead[t - 1] + 1.0)
+    for t in range(len(odds) - 2, -1, -1):
+        follow = odds[t + 1] * behind[t + 1]
+        behind[t] = np.where(t + 1 < lengths, (follow * s + 1.0) / (follow * e + 1.0), 1.0)
+    inside = np.arange(1, len(odds))[:, None] < lengths[None, :]
+    follow, before = odds[1:] * behind[1:], ahead[:-1]
+    both, entered = before * follow * s, follow * e
+    total = both + entered + before + 1.0
+    return np.log(ahead * behind), (both / total)[inside].sum(), (entered / total)[inside].sum()
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -79,13 +80,30 @@ def toxic_keys(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
     """Words and word starts that occur in toxic texts more often than chance allows.
 
     Counts are of texts.  The test is a likelihood ratio against the share of
-    toxic texts, beyond the logarithm of the number of keys tried.
+    toxic texts, beyond the logarithm of the number of keys tried.  Toxic texts
+    that hold none of the keys found are tested again by themselves, so that
+    words of rarer kinds show; this ends when no text gets its first key.
     """
-    t, c = Counter(), Counter()
-    for words, is_toxic in zip(texts, toxic, strict=True):
-        keys = {k for w in set(map(normal, words)) if len(w) > 2 for k in ["w" + w, *("p" + w[:n] for n in PREFIXES[1:] if len(w) >= n)]}
-        (t if is_toxic else c).update(keys)
-    share = toxic.mean()
+    def keys_of(words: list[str]) -> set[str]:
+        return {k for w in set(map(normal, words)) if len(w) > 2 for k in ["w" + w, *("p" + w[:n] for n in PREFIXES[1:] if len(w) >= n)]}
+
+    clean: Counter = Counter()
+    for words, y in zip(texts, toxic, strict=True):
+        if not y:
+            clean.update(keys_of(words))
+    open_texts = [words for words, y in zip(texts, toxic, strict=True) if y]
+    found: set[str] = set()
+    while open_texts:
+        found |= _beyond_chance(Counter(k for words in open_texts for k in keys_of(words)), clean, len(open_texts), len(texts) - int(toxic.sum()))
+        rest = [words for words in open_texts if not keys_of(words) & found]
+        if len(rest) == len(open_texts):
+            break
+        open_texts = rest
+    return found
+
+
+def _beyond_chance(t: Counter, c: Counter, n_toxic: int, n_clean: int) -> set[str]:
+    share = n_toxic / (n_toxic + n_clean)
     limit = np.log(len(t) + len(c) + 1) + 1.0
     found = set()
     for key, a in t.items():
@@ -105,33 +123,46 @@ class Model:
     def __init__(self, own: dict[str, float], before: dict[str, float], after: dict[str, float], base: float, stay: float, enter: float):
         self.own, self.before, self.after = own, before, after
         self.base, self.stay, self.enter = base, stay, enter
-        self.scale = np.array([0.0, 0.0, 0.0])
+        self.scale = np.zeros(4)
         self._forget()
 
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
         self.parts = np.zeros((1024, 3))
+        self.kinds = {k: {f[1:]: v for f, v in self.own.items() if f[0] == k} for k in "wps#A"}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "parts")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "parts", "kinds")}
+
+    def _own(self, word: str, w: str) -> float:
+        """The sum of weights of ``features(word)``, without making their names."""
+        kinds, n = self.kinds, len(w)
+        start = kinds["p"].get
+        total = self.base + kinds["w"].get(w, 0.0) + kinds["s"].get(w[-3:], 0.0)
+        for k in PREFIXES:
+            if n < k:
+                break
+            total += start(w[:k], 0.0)
+        if not w.isalpha() and any(map(str.isdigit, w)):
+            total += kinds["#"].get("", 0.0)
+        if n > 1 and word.isupper():
+            total += kinds["A"].get("", 0.0)
+        return total
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self._forget()
 
     def _look_up(self, words: list[str]) -> list[int]:
-        memo = self.memo
-        out = []
-        for w in words:
-            k = memo.get(w)
-            if k is None:
+        memo, before, after = self.memo, self.before.get, self.after.get
+        for w in dict.fromkeys(words):
+            if w not in memo:
                 k = memo[w] = len(memo)
                 if k >= len(self.parts):
                     self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
                 name = normal(w)
-                self.parts[k] = self.base + sum(self.own.get(f, 0.0) for f in features(w)), self.before.get(name, 0.0), self.after.get(name, 0.0)
-            out.append(k)
-        return out
+                self.parts[k] = self._own(w, name), before(name, 0.0), after(name, 0.0)
+        return list(map(memo.__getitem__, words))
 
     def word_odds(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Log odds of toxic for each word of each text."""
@@ -147,22 +178,21 @@ class Model:
         inner[ends[sizes > 0] - 1] = False  # last words have none after them
         evidence[1:] += np.where(inner[:-1], self.parts[ids[:-1], 1], 0.0)
         evidence[:-1] += np.where(inner[:-1], self.parts[ids[1:], 2], 0.0)
-        table, row, column = chains(evidence, sizes)
-        lengths = np.bincount(row, minlength=len(table))
-        odds, _, _ = marginals(table, lengths, self.stay, self.enter)
-        return np.split(odds[row, column], ends[:-1])
+        table, place, chain = chains(evidence, sizes)
+        odds, _, _ = marginals(table, np.bincount(chain), self.stay, self.enter)
+        return np.split(odds[place, chain], ends[:-1])
 
     @staticmethod
-    def summary(odds: np.ndarray) -> tuple[float, float]:
-        """Of a text: log(1 + expected toxic words) and the largest marginal."""
+    def summary(odds: np.ndarray) -> tuple[float, float, float]:
+        """Of a text: log(1 + expected toxic words), the largest and the second largest marginal."""
         if not len(odds):
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         p = sigmoid(odds)
-        return float(np.log1p(p.sum())), float(p.max())
+        top = np.partition(p, -2)[-2:] if len(p) > 1 else np.array([0.0, p[0]])
+        return float(np.log1p(p.sum())), float(top[1]), float(top[0])
 
     def score(self, odds: np.ndarray) -> float:
-        a, b = self.summary(odds)
-        return float(sigmoid(self.scale[0] + self.scale[1] * a + self.scale[2] * b))
+        return float(sigmoid(self.scale[0] + self.scale[1:] @ np.array(self.summary(odds))))
 
 
 class _Adam:
@@ -179,11 +209,13 @@ class _Adam:
             a += _RATE * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def train(texts: list[list[str]], toxic: np.ndarray, fit: np.ndarray, weights: np.ndarray) -> Model:
+def train(texts: list[str], toxic: np.ndarray, fit: np.ndarray, weights: np.ndarray) -> Model:
     """``fit`` marks texts the chain is fitted to; all are used to find labelled words and to scale scores.
 
     Labelled words: in a toxic text, those with a key of ``toxic_keys``.
     """
+    shared: dict[str, str] = {}
+    texts = [[shared.setdefault(w, w) for w in t.split()] for t in texts]  # one object a word
     keys = toxic_keys(texts, toxic)
     chosen = [(t, y) for t, y, f in zip(texts, toxic, fit, strict=True) if f and t]
     names: dict[str, int] = {}
@@ -212,9 +244,9 @@ def train(texts: list[list[str]], toxic: np.ndarray, fit: np.ndarray, weights: n
     inner = inner[:-1]
     own, before, after = np.zeros(len(known)), np.zeros(len(normals)), np.zeros(len(normals))
     rest = np.array([-3.0, 0.0, 0.0])  # base, stay, enter
-    _, row, column = chains(np.zeros(len(ids)), sizes)
-    lengths = np.bincount(row)
-    chained = inner & (row[1:] == row[:-1])
+    _, place, chain = chains(np.zeros(len(ids)), sizes)
+    lengths = np.bincount(chain)
+    chained = inner & (chain[1:] == chain[:-1])
     seen_stay = float((label[1:] & label[:-1])[chained].sum())
     seen_enter = float((label[1:] & ~label[:-1])[chained].sum())
     adam, n = _Adam(own, before, after, rest), len(ids)
@@ -224,7 +256,7 @@ def train(texts: list[list[str]], toxic: np.ndarray, fit: np.ndarray, weights: n
         evidence[:-1] += np.where(inner, after[near[1:]], 0.0)
         table, _, _ = chains(evidence, sizes)
         odds, stayed, entered = marginals(table, lengths, rest[1], rest[2])
-        error = label - sigmoid(odds[row, column])
+        error = label - sigmoid(odds[place, chain])
         by_word = np.bincount(ids, error, len(words))
         slope_own = np.bincount(feature_of, by_word[word_of], len(known)) / n - _DECAY * own / len(known) ** 0.5
         slope_before = np.bincount(near[:-1], np.where(inner, error[1:], 0.0), len(normals)) * beside / n - _DECAY * before / len(known) ** 0.5
@@ -239,7 +271,7 @@ def train(texts: list[list[str]], toxic: np.ndarray, fit: np.ndarray, weights: n
 def _scale(seen: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Logistic regression of labels on the texts' summaries, lightly held back, by Newton's steps."""
     x = np.column_stack([np.ones(len(seen)), seen])
-    w, hold = np.zeros(3), np.diag([1e-3, 0.05, 0.05])
+    w, hold = np.zeros(4), np.diag([1e-3, 0.5, 0.5, 0.5])
     for _ in range(40):
         p = sigmoid(x @ w)
         slope = x.T @ (weights * (toxic - p)) - hold @ w

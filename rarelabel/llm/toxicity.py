@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from rarelabel.functions.hashing import uniform_hash
 
-from . import crf
+from . import crf, hyperminhash
 from .common import WORD
 
-MOST_TOXIC, MOST_CLEAN = 1_500, 6_000
-FITTED_CLEAN = 1_000  # clean texts of the sample that the chain itself is fitted to
+MOST_TOXIC, MOST_CLEAN = 800, 3_200
+FITTED_CLEAN = 500  # clean texts of the sample that the chain itself is fitted to
 REJECT = 0.7
 _WORDS = re.compile(WORD)
 _SEED = 4
@@ -53,18 +53,36 @@ def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, mos
     return [(r["text"], r["toxic"], sizes[r["toxic"]]) for r in sorted(rows, key=lambda r: (r["toxic"], r["_order"], r["doc_id"]))]
 
 
+def _unlike(rows: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Without rows that share a band key with an earlier row of their label.
+
+    The words of one text and its near copies would else look frequent.
+    """
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for text, y, size in rows:
+        shingles = hyperminhash.shingle_set(text, 2)
+        keys = {(y, k) for k in hyperminhash.band_keys(hyperminhash.registers(shingles)).tolist()} if len(shingles) else set()
+        if not keys & seen:
+            out.append((text, y, size))
+        seen |= keys
+    return out
+
+
 def fit(rows: list[tuple[str, int, int]]) -> crf.Model:
     """Without labels of both kinds, a model that scores all texts alike."""
     toxic = np.array([y for _, y, _ in rows], np.int64)
     if not len(rows) or toxic.min() == toxic.max():
         model = crf.Model({}, {}, {}, -3.0, 0.0, 0.0)
-        model.scale = np.array([3.0 if len(rows) and toxic.min() else -3.0, 0.0, 0.0])
+        model.scale = np.array([3.0 if len(rows) and toxic.min() else -3.0, 0.0, 0.0, 0.0])
         return model
+    rows = _unlike(rows)
+    toxic = np.array([y for _, y, _ in rows], np.int64)
     clean_so_far = np.cumsum(toxic == 0)
     fitted = (toxic == 1) | (clean_so_far <= FITTED_CLEAN)
     # each label weighs as much as it has documents
     weights = np.array([size for _, _, size in rows]) / np.where(toxic == 1, (toxic == 1).sum(), (toxic == 0).sum())
-    return crf.train([t.split() for t, _, _ in rows], toxic, fitted, weights / weights.mean())
+    return crf.train([t for t, _, _ in rows], toxic, fitted, weights / weights.mean())
 
 
 def _spans(text: str, odds: np.ndarray) -> list[dict]:
