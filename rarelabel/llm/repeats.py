@@ -7,8 +7,11 @@ units (rightmost on ties), at the same offset.  So rows are made per seed, about
 two for each ``window - gram + 2`` units, not per window; a row carries 40-bit
 prints of the windows around its seed, which extend a match to both sides.
 
-Rows are dealt by seed, so each shuffle partition is an index block that holds
-every window that could equal one of its own.  Seeds that occur once are dropped
+Windows that repeat one of their own document are known without a lookup; a row
+with no others is dealt by a hash of its place, so a text that says one thing
+over and over does not fill one block.  Other rows are dealt by seed, so each
+shuffle partition is an index block that holds every window that could equal one
+of its own.  Seeds that occur once are dropped
 there.  A seed that holds many rows is not kept in one task: its windows are
 grouped by their own hash, with partial sums, and joined back in salted parts.
 """
@@ -29,7 +32,7 @@ from .winnow import _MIX, _powers, select
 
 PRINT_BYTES = 5
 _TIE_BITS, _START_BITS, _OFFSET_BITS = 23, 32, 8
-_ANCHORS = "seed bigint, doc_id bigint, place bigint, prints binary"
+_ANCHORS = "seed bigint, doc_id bigint, place bigint, prints binary, known bigint"
 _NOT_BLANK = re.compile(rb"[^\x20\x09-\x0D]")
 Split = Callable[[str], list[bytes]]
 
@@ -90,28 +93,48 @@ def _first_windows(keys: np.ndarray, picked: np.ndarray, reach: int) -> np.ndarr
     return firsts
 
 
+def known_windows(marks: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run of windows, which repeat an earlier window of the text (bits), and whether all do."""
+    _, earliest = np.unique(marks, return_index=True)
+    bits = np.zeros(len(first), np.int64)
+    if len(earliest) == len(marks):
+        return bits, np.zeros(len(first), bool)
+    again = np.ones(len(marks), bool)
+    again[earliest] = False
+    at = np.flatnonzero(again)
+    run = np.searchsorted(first, at, side="right") - 1
+    np.bitwise_or.at(bits, run, np.int64(1) << (at - first[run]))
+    return bits, np.bincount(run, minlength=len(first)) == size
+
+
 def _anchors(docs: DataFrame, split: Split, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seeds, ids, places, prints, sizes, null = [], [], [], [], [], []
+            seeds, ids, places, prints, sizes, null, known = [], [], [], [], [], [], []
             for doc_id, tie, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = seeds_of(unit_hashes(split(text or "")), window, gram) if text else None
                 if found is None:
                     continue
                 seed, first, offset, marks = found
+                place = (np.int64(tie) << (_START_BITS + _OFFSET_BITS)) | (first << _OFFSET_BITS) | offset
+                size = np.diff(np.append(first, len(marks)))
+                again, whole = known_windows(marks, first, size)
+                if whole.any():
+                    seed = np.where(whole, _mixed(place.astype(np.uint64) ^ np.uint64((doc_id or 0) & 0xFFFFFFFFFFFFFFFF)), seed)
+                known.append(again)
                 seeds.append(seed.view(np.int64))
                 ids.append(np.full(len(seed), doc_id or 0, np.int64))
                 null.append(np.full(len(seed), doc_id is None))
-                places.append((np.int64(tie) << (_START_BITS + _OFFSET_BITS)) | (first << _OFFSET_BITS) | offset)
-                sizes.append(np.diff(np.append(first, len(marks))) * PRINT_BYTES)
+                places.append(place)
+                sizes.append(size * PRINT_BYTES)
                 prints.append(np.ascontiguousarray(marks.view(np.uint8).reshape(-1, 8)[:, :PRINT_BYTES]).ravel())
             if not seeds:
                 continue
             ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(prints))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(seeds)), pa.array(np.concatenate(ids), mask=np.concatenate(null)), pa.array(np.concatenate(places).astype(np.int64)), packed],
-                names=["seed", "doc_id", "place", "prints"],
+                [pa.array(np.concatenate(seeds)), pa.array(np.concatenate(ids), mask=np.concatenate(null)), pa.array(np.concatenate(places).astype(np.int64)), packed, pa.array(np.concatenate(known))],
+                names=["seed", "doc_id", "place", "prints", "known"],
             )
 
     return docs.select("doc_id", "tie", "text").mapInArrow(run, _ANCHORS)
@@ -123,19 +146,20 @@ def _prepared(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def _windows(anchors: DataFrame) -> DataFrame:
-    """One row per window: the anchor's columns, ``i``, ``offset``, ``print`` and ``own`` (its place, comparable)."""
+    """One row per window: the anchor's columns, its ``i``, ``offset``, ``print`` and ``own`` (its place, comparable)."""
     n = (F.octet_length("prints") / PRINT_BYTES).cast("int")
-    rows = anchors.select("seed", "doc_id", "place", "prints", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    rows = anchors.select("seed", "doc_id", "place", "known", "prints", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
     own = F.struct("doc_id", (F.shiftright("place", _OFFSET_BITS) + F.col("i")).alias("at"))
     offset = F.col("place").bitwiseAND((1 << _OFFSET_BITS) - 1) - F.col("i")
     mark = F.substring(F.col("prints"), F.col("i") * PRINT_BYTES + 1, F.lit(PRINT_BYTES))
-    return rows.select("seed", "doc_id", "place", "i", offset.alias("offset"), mark.alias("print"), own.alias("own"))
+    return rows.select("seed", "doc_id", "place", "known", "i", offset.alias("offset"), mark.alias("print"), own.alias("own"))
 
 
 def _masks(windows: DataFrame) -> DataFrame:
     """One row per anchor with repeats: bit i of ``mask`` is set if its window i is one."""
-    bit = F.expr("shiftleft(1L, i)")
-    return windows.where(F.col("own") > F.col("first")).groupBy("seed", "doc_id", "place").agg(F.bit_or(bit).alias("mask"))
+    bit = F.when(F.col("own") > F.col("first"), F.expr("shiftleft(1L, i)")).otherwise(F.lit(0).cast("bigint"))
+    found = windows.groupBy("seed", "doc_id", "place").agg(F.bit_or(F.col("known").bitwiseOR(bit)).alias("mask"))
+    return found.where("mask <> 0")
 
 
 def repeat_masks(anchors: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -145,12 +169,13 @@ def repeat_masks(anchors: DataFrame, hot: DataFrame | None) -> DataFrame:
     """
     same = ["seed", "offset", "print"]
     cold = anchors if hot is None else anchors.join(hot, "seed", "left_anti")
-    several = cold.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("seed"))).where("_n > 1")
+    several = cold.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("seed"))).where("_n > 1 or known <> 0")
     found = _masks(_windows(several).withColumn("first", F.min("own").over(Window.partitionBy(*same))))
     if hot is not None:
         frequent = _windows(anchors.join(hot, "seed", "left_semi"))
         firsts = frequent.groupBy(*same).agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-        found = found.unionByName(_masks(salted_join(frequent, firsts, same, F.col("own"), "inner")))
+        met = salted_join(frequent, firsts, same, F.col("own"), "left").withColumn("first", F.coalesce("first", "own"))
+        found = found.unionByName(_masks(met))
     return found.select("doc_id", "place", "mask")
 
 
