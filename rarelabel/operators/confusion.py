@@ -56,15 +56,19 @@ def class_totals(
         part(F.col("prediction"), zero, F.when(hit, zero).otherwise(n), zero, zero),
     )
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    if domain is not None:
+    split = counts.select(*by, F.inline(parts))
+    if domain is not None and not by:
+        nothing = [zero.alias(m) for m in ("tp", "fp", "fn", "seen")]
+        # the domain's own rows, so that all classes are there even without predictions
+        split = split.unionByName(domain.select(F.col(domain.columns[0]).cast(kind).alias("c"), *nothing))
+    elif domain is not None:
         labels = [r[0] for r in collect_bounded(domain, MAX_CLASSES, "classes")]
         absent = F.array(*[part(F.lit(c), zero, zero, zero, zero) for c in labels])
         first = F.row_number().over(group.orderBy("label", "prediction")) == 1
         counts = counts.withColumn("_first", first)
-        parts = F.when(F.col("_first"), F.concat(parts, absent)).otherwise(parts)
+        split = counts.select(*by, F.inline(F.when(F.col("_first"), F.concat(parts, absent)).otherwise(parts)))
     return (
-        counts.select(*by, F.inline(parts))
-        .groupBy(*by, "c")
+        split.groupBy(*by, "c")
         .agg(*[F.sum(m).alias(m) for m in ("tp", "fp", "fn", "seen")])
         .withColumn("_rows", F.sum("seen").over(group))
         .select(

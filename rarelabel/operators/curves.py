@@ -9,11 +9,13 @@ points only balance the work: the areas are exact wherever they lie.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions.ranking import ensure_checkpoint_dir
 
@@ -63,6 +65,13 @@ def one_vs_rest_counts(scored: DataFrame, score: str, label: str, classes: Seque
     ).select("label", "score", "p", "n")
 
 
+def _unscored(counts: DataFrame) -> Column:
+    missing = F.col("score").isNull()
+    if isinstance(counts.schema["score"].dataType, (DoubleType, FloatType)):
+        missing = missing | F.isnan("score")
+    return missing
+
+
 def _with_range(counts: DataFrame, by: Sequence[str], rows_per_range: int) -> DataFrame:
     """Add ``_range``, a number that never falls as the score rises."""
     sizes = counts.groupBy(*by).count().agg(F.sum("count"), F.max("count")).first()
@@ -72,26 +81,38 @@ def _with_range(counts: DataFrame, by: Sequence[str], rows_per_range: int) -> Da
     # cuts over all groups together: no group has more rows in a range than that
     ranges = min(MAX_RANGES, -(-total // rows_per_range))
     shares = [i / ranges for i in range(1, ranges)]
-    found = counts.agg(F.percentile_approx("score", shares, 10 * ranges).alias("cuts")).first()
+    # a cast to double keeps the order, and the score itself stays as it is
+    counts = counts.withColumn("_at", F.col("score").cast("double"))
+    found = counts.agg(F.percentile_approx("_at", shares, 10 * ranges).alias("cuts")).first()
     cuts = sorted({float(c) for c in found["cuts"]} - {float("-inf"), float("inf")})
     splits = [float("-inf"), *cuts, float("inf")]
     if len(splits) < 3:
-        return counts.withColumn("_range", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol="score", outputCol="_range").transform(counts)
+        return counts.drop("_at").withColumn("_range", F.lit(0.0))
+    return Bucketizer(splits=splits, inputCol="_at", outputCol="_range").transform(counts).drop("_at")
 
 
 def curve_areas(
-    counts: DataFrame, by: Sequence[str] = (), rows_per_range: int = ROWS_PER_RANGE
+    counts: DataFrame,
+    by: Sequence[str] = (),
+    rows_per_range: int = ROWS_PER_RANGE,
+    unscored: str = "warn",
 ) -> DataFrame:
     """``(by..., positives, negatives, roc_auc, pr_auc)``, exact.
 
-    An area is null if its curve does not exist.
+    An area is null if its curve does not exist.  Scores are compared in their
+    own type.  Rows whose score is null or NaN count for neither side; a warning
+    tells their number, or an error if ``unscored`` is "error".
     """
     by = list(by)
     ensure_checkpoint_dir(counts.sparkSession)
-    stored = counts.withColumn("score", F.col("score").cast("double")).checkpoint(eager=True)
-    # rows without a score count for neither side
-    stored = stored.filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    stored = counts.checkpoint(eager=True)
+    missing = stored.filter(_unscored(stored)).agg(F.sum(F.col("p") + F.col("n"))).first()[0]
+    if missing:
+        message = f"{missing} rows have no score"
+        if unscored == "error":
+            raise ValueError(message)
+        warnings.warn(f"{message} and are left out", stacklevel=2)
+        stored = stored.filter(~_unscored(stored))
     ranged = _with_range(stored, by, rows_per_range)
     keys = [*by, "_range"]
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))

@@ -280,8 +280,11 @@ def keep_smallest_hashes(
     else:
         edge_rows = narrow.join(want.withColumnRenamed("_want", "_left"), label)
     order = Window.partitionBy(label, "_b").orderBy("_h", *keys)
+    here, before = F.struct("_h", *keys), F.lag(F.struct("_h", *keys)).over(order)
+    repeated = F.raise_error(F.lit(f"the key ({', '.join(keys)}) is not unique")).cast("int")
     cuts = (
-        edge_rows.withColumn("_rn", F.row_number().over(order))
+        # a repeated key at the cut would let more rows through than asked for
+        edge_rows.withColumn("_rn", F.when(before == here, repeated).otherwise(F.row_number().over(order)))
         .filter(F.col("_rn") == F.col("_left"))
         .select(label, F.struct("_h", *keys).alias("_cut"))
     )

@@ -16,11 +16,21 @@ from ..functions.hashing import as_columns, below, uniform_hash
 MAX_PLAN_ENTRIES = 10_000_000
 
 
+def _key_hash(key: str | Sequence[str], seed: int) -> Column:
+    """Hash of a row's key; a null key is an error, or all its rows would fall together."""
+    names = as_columns(key)
+    missing = F.col(names[0]).isNull()
+    for name in names[1:]:
+        missing = missing | F.col(name).isNull()
+    error = F.raise_error(F.lit(f"the key ({', '.join(names)}) is null")).cast("bigint")
+    return F.when(missing, error).otherwise(uniform_hash(*names, seed=seed))
+
+
 def split_column(key: str | Sequence[str], weights: Sequence[float], seed: int) -> Column:
     """Number of the split a row falls in; ``weights`` are normalised to sum 1."""
     total = float(sum(weights))
     edges = [below(min(1.0, edge / total)) for edge in accumulate(weights)]
-    hashed = uniform_hash(*as_columns(key), seed=seed)
+    hashed = _key_hash(key, seed)
     # ``hashed`` is written once: the comparison runs over a literal array
     return F.least(
         F.size(F.filter(F.array(*[F.lit(e) for e in edges[:-1]]), lambda e: e <= hashed)),
@@ -43,12 +53,12 @@ def with_side(
     df: DataFrame, key: str | Sequence[str], seed: int, train: float = 0.8, out: str = "side"
 ) -> DataFrame:
     """Mark each row ``train`` or ``test``."""
-    hashed = uniform_hash(*as_columns(key), seed=seed)
+    hashed = _key_hash(key, seed)
     return df.withColumn(out, F.when(hashed < below(train), "train").otherwise("test"))
 
 
 def _remainder(key: str | Sequence[str], n: int, seed: int) -> Column:
-    number = (uniform_hash(*as_columns(key), seed=seed) % n).cast("int")
+    number = (_key_hash(key, seed) % n).cast("int")
     # ``%`` counts as nullable, and joins would hash again to filter nulls
     return F.coalesce(number, F.lit(0))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from ..operators.encode import Vocabulary, assemble, fit_vocabulary, missing_as_
 from ..sources.libsvm import write_libsvm
 from ..sources.schemas import TableSchema
 from ..sources.tables import write_parquet
-from ..sources.text import read_table
+from ..sources.text import read_table, rejected_rows
 
 
 @dataclass(frozen=True)
@@ -22,6 +22,7 @@ class Imported:
     table: DataFrame
     vocabulary: Vocabulary | None
     histogram: DataFrame
+    rejected: dict[str, int] = field(default_factory=dict)
 
 
 def encode_table(
@@ -51,17 +52,31 @@ def import_text(
     missing: Sequence[str] = (),
     require: Sequence[str] = (),
     missing_category: bool = True,
+    on_bad: str = "error",
 ) -> Imported:
     """Text to an all-double Parquet table, replacing what was at ``out``.
 
-    Two passes over the text: one to count string values, one to write.  The
-    class histogram reads the written table.
+    Lines that do not fit the schema (wrong width, malformed number) are an error,
+    or with ``on_bad="divert"`` are written next to the table, as
+    ``<out>.rejected``, and counted by reason; of these, lines of the right width
+    stay in the table with null for the malformed number.  Three passes over the text: one
+    to judge lines, one to count string values, one to write.  The class
+    histogram reads the written table.
     """
+    if on_bad not in ("error", "divert"):
+        raise ValueError(f"on_bad is {on_bad!r}, neither 'error' nor 'divert'")
+    bad = rejected_rows(spark, path, schema, missing)
+    if on_bad == "divert":
+        write_parquet(bad, f"{out}.rejected")
+        bad = spark.read.parquet(f"{out}.rejected")
+    rejected = {r["reason"]: r["count"] for r in bad.groupBy("reason").count().collect()}
+    if rejected and on_bad == "error":
+        raise ValueError(f"lines that do not fit the schema: {rejected}")
     typed = read_table(spark, path, schema, missing, require)
     encoded, vocabulary = encode_table(typed, schema, missing_category)
     write_parquet(encoded, out)
     table = spark.read.parquet(out)
-    return Imported(table, vocabulary, class_histogram(table, f"`{schema.label}`"))
+    return Imported(table, vocabulary, class_histogram(table, f"`{schema.label}`"), rejected)
 
 
 def export_vectors(

@@ -63,9 +63,16 @@ def read_table(
     schema: TableSchema,
     missing: Sequence[str] = (),
     require: Sequence[str] = (),
+    empty: str | None = None,
 ) -> DataFrame:
-    """Text to typed rows.  ``require`` names columns whose nulls drop the row."""
+    """Text to typed rows.  ``require`` names columns whose nulls drop the row.
+
+    ``empty`` is the token that stands for an empty string in text columns.
+    """
     typed = type_columns(raw_table(read_fields(spark, path), schema), schema, missing)
+    if empty is not None:
+        texts = [n for n in schema.names if n not in set(schema.numeric)]
+        typed = typed.withColumns({n: F.when(_quoted(n) == empty, "").otherwise(_quoted(n)) for n in texts})
     return typed.dropna(subset=list(require)) if require else typed
 
 
@@ -93,7 +100,18 @@ def rejected_rows(
     )
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Write every column as text, blanks inside values replaced by ``_``."""
-    cells = [F.regexp_replace(_quoted(n).cast("string"), r"\s", "_") for n in df.columns]
+def write_table(df: DataFrame, path: str, missing: str = "NA", empty: str = "''") -> None:
+    """Write every column as text, blanks inside values replaced by ``_``.
+
+    A null is written as ``missing`` and an empty string as ``empty``, so that
+    each line has all its fields; a value that equals either token is an error.
+    """
+    error = F.raise_error(F.lit(f"a value equals the token {missing} or {empty}")).cast("string")
+
+    def cell(name: str) -> Column:
+        text = _quoted(name).cast("string")
+        shown = F.when(text.isin(missing, empty), error).when(text == "", empty)
+        return F.when(text.isNull(), missing).otherwise(shown.otherwise(F.regexp_replace(text, r"\s", "_")))
+
+    cells = [cell(n) for n in df.columns]
     df.select(F.concat_ws(" ", *cells).alias("value")).write.mode("overwrite").text(path)
