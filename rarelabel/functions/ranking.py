@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from collections.abc import Sequence
 
@@ -23,6 +25,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="rarelabel-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
