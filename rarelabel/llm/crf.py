@@ -10,6 +10,7 @@ many chains advance together in numpy.  Chains are pieces of 64 words of a text.
 from __future__ import annotations
 
 import string
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -222,17 +223,21 @@ def train(texts: list[str], toxic: np.ndarray, fit: np.ndarray, weights: np.ndar
     ids = np.array([names.setdefault(w, len(names)) for t, _ in chosen for w in t], np.int64)
     sizes = np.array([len(t) for t, _ in chosen], np.int64)
     words = list(names)
-    listed = np.array([bool({k for k in features(w) if k in keys}) for w in words], bool)
-    label = listed[ids] & np.repeat(np.array([y for _, y in chosen], bool), sizes)
     uses = np.bincount(ids, minlength=len(words))
-    count: Counter = Counter()
-    of_word = [features(w) for w in words]
-    for fs, n in zip(of_word, uses, strict=True):
-        for f in fs:
-            count[f] += int(n)
-    known = {f: k for k, f in enumerate(f for f, n in count.items() if n >= _RARE)}
-    pairs = [(i, known[f]) for i, fs in enumerate(of_word) for f in fs if f in known]
-    word_of, feature_of = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+    every: dict[str, int] = {}
+    word_of, feature_of, listed = array("i"), array("i"), np.zeros(len(words), bool)
+    for i, w in enumerate(words):
+        for f in features(w):
+            word_of.append(i)
+            feature_of.append(every.setdefault(f, len(every)))
+            listed[i] |= f in keys
+    word_of, feature_of = (np.frombuffer(x, np.int32) for x in (word_of, feature_of))
+    often = np.bincount(feature_of, uses[word_of], len(every)) >= _RARE
+    number = np.cumsum(often) - 1
+    known = {f: int(number[k]) for f, k in every.items() if often[k]}
+    word_of, feature_of = word_of[often[feature_of]], number[feature_of[often[feature_of]]]
+    del every
+    label = listed[ids] & np.repeat(np.array([y for _, y in chosen], bool), sizes)
     normals: dict[str, int] = {}
     normal_of = np.array([normals.setdefault(normal(w), len(normals)) for w in words], np.int64)
     beside = np.bincount(normal_of[ids], minlength=len(normals)) >= 20  # words that count as neighbours
