@@ -11,18 +11,21 @@ from .common import stored
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (its smallest node) of every node in links ``a, b``.
 
-    Each turn points a node to its smallest neighbour, jumps once more, and
-    contracts the links to what remains between different labels; the number of
-    nodes that still have links at least halves.  Loops and repeated links do no
+    Each turn points a node to its smallest neighbour, if that is smaller, and
+    follows these pointers to their roots, twice as far with each jump.  Links are
+    then contracted to what remains between different roots; the number of nodes
+    that still have links at least halves with each turn.  Loops and repeated links do no
     harm; no links give no rows.
     """
     pairs = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = stored(pairs.where("a <> b").distinct())
     labels = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     while not edges.isEmpty():
-        point = edges.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("y")).withColumn("y", F.least("x", "y"))
-        jump = point.select(F.col("x").alias("y"), F.col("y").alias("z"))
-        point = stored(point.join(jump, "y").select("x", F.col("z").alias("y")))
+        point = edges.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("y"))
+        point = stored(point.select("x", F.least("x", "y").alias("y"), F.lit(True).alias("moved")))
+        while not point.where("moved").isEmpty():
+            jump = point.select(F.col("x").alias("y"), F.col("y").alias("z"))
+            point = stored(point.join(jump, "y").select("x", F.col("z").alias("y"), (F.col("z") != F.col("y")).alias("moved")))
         labels = stored(labels.join(point, F.col("component") == F.col("x"), "left").select("node", F.coalesce("y", "component").alias("component")))
         left = point.select(F.col("x").alias("a"), F.col("y").alias("_a"))
         right = point.select(F.col("x").alias("b"), F.col("y").alias("_b"))
