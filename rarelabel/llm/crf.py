@@ -20,7 +20,7 @@ PREFIXES = (3, 4, 5, 6)
 _STEPS, _RATE, _DECAY = 50, 0.25, 2e-4
 _MOST = 30.0  # of a weight's size where odds are taken
 _RARE = 3  # a feature must occur in so many words' uses
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 
 def normal(word: str) -> str:

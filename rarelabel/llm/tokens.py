@@ -6,7 +6,7 @@ import functools
 import re
 import struct
 
-MEMO_ENTRIES = 400_000  # per worker process; the table is emptied when full
+MEMO_ENTRIES = 200_000  # per worker process; the table is emptied when full
 SPACE = "▁"
 
 

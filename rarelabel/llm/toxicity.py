@@ -21,8 +21,8 @@ from rarelabel.functions.hashing import uniform_hash
 from . import crf, hyperminhash
 from .common import WORD
 
-MOST_TOXIC, MOST_CLEAN = 800, 3_200
-FITTED_CLEAN = 500  # clean texts of the sample that the chain itself is fitted to
+MOST_TOXIC, MOST_CLEAN = 600, 1_800
+FITTED_CLEAN = 400  # clean texts of the sample that the chain itself is fitted to
 REJECT = 0.7
 _WORDS = re.compile(WORD)
 _SEED = 4
