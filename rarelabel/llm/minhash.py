@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hyperminhash as sketch
-from .common import bounded, salted_join, stored, without
+from .common import bounded, stored, without
 from .components import components
 
 WORDS = 5
@@ -119,7 +119,7 @@ def _block_links(rows: list[int], labels: list[int], sides: list[bool], marks: n
     if len(parent) < 2:
         return []
     sizes, kinds, side = np.array([len(s) for s in sets]), np.array(labels), np.array(sides)
-    found: list[tuple[float, int, int]] = []
+    found: list[np.ndarray] = []  # per row i: (equal registers, i, j) of rows j that may be alike
     for i in range(len(rows) - 1):
         later = np.flatnonzero((kinds[i + 1 :] != kinds[i]) & ((side[i + 1 :] != side[i]) if two else True)) + i + 1
         if not len(later):
@@ -130,9 +130,15 @@ def _block_links(rows: list[int], labels: list[int], sides: list[bool], marks: n
         if ok.any():
             shared = same[ok].reshape(-1, sketch.BANDS, sketch.ROWS).all(axis=2)
             first = shared.argmax(axis=1) == band
-            found += [(-int(e), i, int(j)) for e, j, f in zip(equal[ok], later[ok], first, strict=True) if f]
-    links = []
-    for _, i, j in sorted(found):
+            pairs = np.empty((int(first.sum()), 3), np.int16)
+            pairs[:, 0], pairs[:, 1], pairs[:, 2] = equal[ok][first], i, later[ok][first]
+            found.append(pairs)
+    links: list[tuple[int, int]] = []
+    if not found:
+        return links
+    table = np.concatenate(found)
+    for k in np.argsort(-table[:, 0], kind="stable"):  # the likeliest first, so that most others are connected already
+        i, j = int(table[k, 1]), int(table[k, 2])
         a, b = root(labels[i]), root(labels[j])
         if a != b and judge.alike(sets[i], sets[j]):
             parent[max(a, b)] = min(a, b)
@@ -211,8 +217,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: tuple[int,
     labels = components(links).withColumnRenamed("node", "_node")
     labelled = stored(classes.join(labels, F.col("node") == F.col("_node"), "left").select("set_id", "best", F.coalesce("component", "node").alias("component")))
     ends = labelled.groupBy("component").agg(F.min("best").alias("_least"))
-    ends = salted_join(labelled.select("set_id", "component"), ends, ["component"], F.col("set_id"), "inner").select("set_id", "_least")
-    found = salted_join(filled.select("row", "doc_id", "n_shingles", "set_id"), ends, ["set_id"], F.col("row"), "inner")
+    # plain joins of a few numbers a row: Spark splits a key that fills a partition
+    ends = labelled.select("set_id", "component").join(ends, "component").select("set_id", "_least")
+    found = filled.select("row", "doc_id", "n_shingles", "set_id").join(ends, "set_id")
     found = found.select("row", "doc_id", "n_shingles", F.col("_least.doc_id").alias("component_id"), (F.col("row") == F.col("_least.row")).alias("stays"))
     alone = seen.where("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
     return found.unionByName(alone)
