@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, without
+from .common import ascii_lower, salted_join, stored, without
 
 BLOCK_BITS = 32_768  # what one value of bitmap_construct_agg holds
 BITS_PER_ROW = 16
@@ -96,10 +96,11 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     )
     maybe = tested.where("maybe").drop("maybe")
     groups = maybe.groupBy("text_hash").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size"))
-    # a plain join of a few numbers a row: Spark splits a hash that fills a partition
-    found = maybe.join(groups, "text_hash").select(
-        "row", "doc_id", shown, F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept")
-    )
+    # only groups of several rows are dealt in salted parts
+    own = F.struct("doc_id", "row")
+    met = salted_join(maybe, groups.where("group_size > 1"), ["text_hash"], F.col("row"), "left").withColumn("best", F.coalesce("best", own))
+    size = F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size")
+    found = met.select("row", "doc_id", shown, F.col("best.doc_id").alias("keep_id"), size, (F.col("row") == F.col("best.row")).alias("kept"))
     return alone.unionByName(found)
 
 
