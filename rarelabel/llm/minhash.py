@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hyperminhash as sketch
-from .common import bounded, stored, without
+from .common import bounded, salted_join, stored, without
 from .components import components
 
 WORDS = 5
@@ -215,10 +215,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: tuple[int,
     links = stored(_verified(spokes, sets, similarity))
     links = stored(links.unionByName(_between_components(members.drop("leader"), links, sets, similarity)))
     labels = components(links).withColumnRenamed("node", "_node")
-    labelled = stored(classes.join(labels, F.col("node") == F.col("_node"), "left").select("set_id", "best", F.coalesce("component", "node").alias("component")))
-    ends = labelled.groupBy("component").agg(F.min("best").alias("_least"))
-    # plain joins of a few numbers a row: Spark splits a key that fills a partition
-    ends = labelled.select("set_id", "component").join(ends, "component").select("set_id", "_least")
+    labelled = stored(classes.join(labels, F.col("node") == F.col("_node"), "left").select("set_id", "best", "component"))
+    linked = labelled.where("component is not null")
+    ends = linked.groupBy("component").agg(F.min("best").alias("_least"))
+    ends = salted_join(linked.select("set_id", "component"), ends, ["component"], F.col("set_id"), "inner").select("set_id", "_least")
+    ends = ends.unionByName(labelled.where("component is null").select("set_id", F.col("best").alias("_least")))
+    # a plain join of a few numbers a row: Spark splits a set that fills a partition
     found = filled.select("row", "doc_id", "n_shingles", "set_id").join(ends, "set_id")
     found = found.select("row", "doc_id", "n_shingles", F.col("_least.doc_id").alias("component_id"), (F.col("row") == F.col("_least.row")).alias("stays"))
     alone = seen.where("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
