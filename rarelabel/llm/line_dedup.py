@@ -4,6 +4,8 @@ Of each window of lines the smallest line hash (rightmost on ties) is selected
 as a fingerprint, so any repeated run as long as the window shares one.  Places
 are joined on fingerprints, matches are extended to both sides by prints of the
 windows around them, and lines of later runs are deleted; the first run stays.
+Runs shorter than the window are not found; with a window of 1 each line is a
+fingerprint of its own, and every later copy of a line is deleted.
 """
 
 from __future__ import annotations

@@ -149,6 +149,22 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_units").alias("n_lines"), "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query(
+    "op9_each_line",
+    r"""
+    WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+    u AS (SELECT * FROM (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key FROM l) WHERE key <> ''),
+    ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS r FROM u)
+    SELECT l.doc_id, count(r) AS n_lines, count(*) FILTER (WHERE r > 1) AS n_removed,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE r IS NULL OR r = 1), '')) AS kept_sha256
+    FROM l LEFT JOIN ranked ON ranked.doc_id = l.doc_id AND ranked.i = l.i GROUP BY 1
+    """,
+)
+def op9_each_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents"), window=1)
+    return found.select("doc_id", F.col("n_units").alias("n_lines"), "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query(
     "op10_chat",
     rf"""

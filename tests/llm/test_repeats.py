@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from fixtures import awkward
 
-from rarelabel.llm import line_dedup, repeats, substring_dedup
+from rarelabel.llm import line_dedup, queries, repeats, substring_dedup
 
 
 def brute(rows, units_of, window):
@@ -102,3 +102,12 @@ def test_frequent_seeds_give_the_same_answer(docs, spark):
 def test_empty_table(docs):
     assert substring_dedup.remove_repeated_passages(docs([])).collect() == []
     assert line_dedup.remove_repeated_lines(docs([])).collect() == []
+
+
+def test_each_line_query_finds_runs_of_one_line(docs, spark):
+    texts = ["shared passage\none", "two\nshared passage", "one line", "one line", "x\n\nx"]
+    path = docs([(i, t, "a") for i, t in enumerate(texts)]).inputFiles()[0].rsplit("/", 1)[0]
+    folder = path.removesuffix(".parquet") + "-sf"
+    spark.read.parquet(path).write.parquet(f"{folder}/documents.parquet")
+    found = {r.doc_id: (r.n_lines, r.n_removed) for r in queries.QUERIES["op9_each_line"](spark, folder).collect()}
+    assert found == {0: (2, 0), 1: (2, 1), 2: (1, 0), 3: (1, 1), 4: (2, 1)}
