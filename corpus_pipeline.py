@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from rarelabel.functions.ranking import scratch_path  # noqa: E402
 from rarelabel.llm import exact_dedup, minhash, mixing, packing, toxicity  # noqa: E402
-from rarelabel.llm.common import without  # noqa: E402
+from rarelabel.llm.common import numbered, without  # noqa: E402
 
 #: The classifier of the first stage and the tokenizer of the last cannot be stated in SQL.
 ORACLE_SQL = None
@@ -25,7 +25,8 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the limit of rejection."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return without(docs, toxicity.toxicity(docs, docs, labels).where("predicted = 1").select("row"))
+    counted, number = numbered(docs)
+    return without(counted, number, toxicity.toxicity(counted, counted, labels, number).where("predicted = 1").select("row"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rarelabel.functions.ranking import ensure_checkpoint_dir
+from rarelabel.functions.ranking import ensure_checkpoint_dir, scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word: characters other than space, tab, line feed, vertical tab, form feed and carriage return.
@@ -61,16 +61,23 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with its rows numbered as in ``row`` of the operators, and the column's name.
+    """``docs`` with its rows numbered, written once as a table, and the column's name.
 
-    ``docs`` must be a table or stored: then each read gives the same numbers.
+    How a table's files are split depends on the cores that are alive, so a
+    number that is computed again may be another; all passes read the written one.
     """
     name = fresh(docs, "_row_number")
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+    path = scratch_path(docs.sparkSession, "numbered")
+    docs.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path), name
 
 
-def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``docs`` without the numbers in ``rows`` (one column), all columns kept."""
-    counted, name = numbered(docs)
-    gone = stored(rows.toDF(name))
-    return counted.join(bounded(gone), name, "left_anti").drop(name)
+def row_number(number: str | None) -> Column:
+    """``row`` of an operator: the stored numbers in column ``number``, else new ones for a single pass."""
+    return (F.col(number) if number else F.monotonically_increasing_id()).alias("row")
+
+
+def without(counted: DataFrame, number: str, rows: DataFrame) -> DataFrame:
+    """``counted`` without the numbers in ``rows`` (one column) and without its column ``number``."""
+    gone = stored(rows.toDF(number))
+    return counted.join(bounded(gone), number, "left_anti").drop(number)

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, salted_join, stored, without
+from .common import ascii_lower, numbered, row_number, salted_join, stored, without
 
 BLOCK_BITS = 32_768  # what one value of bitmap_construct_agg holds
 BITS_PER_ROW = 16
@@ -73,18 +73,18 @@ def possibly_repeated(rows: DataFrame, key: str, segment_bytes: int = SEGMENT_BY
     return tested
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", segment_bytes: int = SEGMENT_BYTES, number: str | None = None) -> DataFrame:
     """One row per input row: ``row, doc_id, text_sha256, keep_id, group_size, kept``.
 
     Texts are equal when identical after lower-casing A-Z; a null text is empty.
     Of equal texts the row with the largest id stays; a null id is smaller than
-    any; among repeated rows of one id exactly one stays.  ``row`` numbers the
-    rows of ``docs``, which must be a table (or stored) so that it can be read
-    again with the same numbers.  An empty table gives no rows.
+    any; among repeated rows of one id exactly one stays.  ``row`` is the
+    column ``number`` of ``docs``, see ``common.numbered``, or a number of this
+    pass only.  An empty table gives no rows.
     """
     hashed = stored(
         docs.select(
-            F.monotonically_increasing_id().alias("row"),
+            row_number(number),
             F.col(id_col).cast("bigint").alias("doc_id"),
             text_hash(F.col(text)).alias("text_hash"),
         )
@@ -109,4 +109,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     Only numbers of dropped rows travel; see ``common.bounded``.
     """
-    return without(docs, duplicate_groups(docs, id_col, text).where(~F.col("kept")).select("row"))
+    counted, number = numbered(docs)
+    return without(counted, number, duplicate_groups(counted, id_col, text, number=number).where(~F.col("kept")).select("row"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hyperminhash as sketch
-from .common import bounded, salted_join, stored, without
+from .common import bounded, numbered, row_number, salted_join, stored, without
 from .components import components
 
 WORDS = 5
@@ -188,7 +188,7 @@ def _between_components(members: DataFrame, linked: DataFrame, sets: DataFrame,
     return full.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text: str = "text", number: str | None = None) -> DataFrame:
     """One row per input row: ``row, doc_id, n_shingles, component_id, stays``.
 
     Shingles are runs of ``words`` words with A-Z lower-cased; a text with fewer
@@ -196,11 +196,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: tuple[int,
     Texts are linked if ``intersection / union`` of their sets is at least
     ``similarity``; ``component_id`` is the smallest id reachable over links.
     Null ids are larger than any; of each component exactly one row stays, the
-    one with the smallest id (of repeated ids, the first row).  ``row`` numbers
-    the rows of ``docs``, which must be a table or stored.  An empty table gives
+    one with the smallest id (of repeated ids, the first row).  ``row`` is
+    the column ``number`` of ``docs``, see ``common.numbered``; without one, texts
+    are numbered and written first, as they are read twice.  An empty table gives
     no rows.
     """
-    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if number is None:
+        docs, number = numbered(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")))
+        id_col, text = "doc_id", "text"
+    read = docs.select(row_number(number), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     seen = stored(sketches(read, words))
     filled = seen.where("n_shingles > 0")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
@@ -229,4 +233,5 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: tuple[int,
 
 def near_dedup(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all of their columns."""
-    return without(docs, near_duplicates(docs, words, similarity, id_col, text).where(~F.col("stays")).select("row"))
+    counted, number = numbered(docs)
+    return without(counted, number, near_duplicates(counted, words, similarity, id_col, text, number).where(~F.col("stays")).select("row"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rarelabel.functions.hashing import HASH_SPACE, uniform_hash
 from rarelabel.functions.ranking import number_in_order
 
-from .common import WORD, bounded, fresh, numbered, stored
+from .common import WORD, bounded, fresh, numbered, row_number, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
@@ -54,10 +54,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return weighed.select("source", "source_size", F.least(F.col("most"), F.col("weight") * level).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED, number: str | None = None) -> DataFrame:
     """One row per input row: ``row, doc_id, size, source_size, target, copies, taken``.
 
-    ``row`` numbers the rows of ``docs``, which must be a table or stored.
+    ``row`` is the column ``number`` of ``docs``, see ``common.numbered``, or a
+    number of this pass only.
     Equal lengths are ordered by a hash of the id, then by row, so repeated rows
     are separate documents and reruns agree.  Null texts and empty texts have size 0
     and are taken as often as others of their source, at no words; a null source
@@ -65,7 +66,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     """
     sized = stored(
         docs.select(
-            F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")
+            row_number(number), F.col(id_col).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")
         )
     )
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
@@ -92,7 +93,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """
     counted, number = numbered(docs)
     copies = fresh(docs, "_copies")
-    changed = stored(mix(docs, **options).where("copies <> 1").select(F.col("row").alias(number), F.col("copies").alias(copies)))
+    changed = stored(mix(counted, number=number, **options).where("copies <> 1").select(F.col("row").alias(number), F.col("copies").alias(copies)))
     joined = counted.join(bounded(changed), number, "left").withColumn(copies, F.coalesce(copies, F.lit(1)))
     each = F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copies)
     return joined.where(F.col(copies) > 0).select(*docs.columns, each).drop(copies)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from rarelabel.functions.hashing import uniform_hash
 
 from . import crf, hyperminhash
-from .common import WORD
+from .common import WORD, row_number
 
 MOST_TOXIC, MOST_CLEAN = 600, 1_800
 FITTED_CLEAN = 400  # clean texts of the sample that the chain itself is fitted to
@@ -103,7 +103,7 @@ def _spans(text: str, odds: np.ndarray) -> list[dict]:
     return [{k: v for k, v in s.items() if k != "_last"} for s in out]
 
 
-def score(docs: DataFrame, model: crf.Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: crf.Model, id_col: str = "doc_id", text: str = "text", number: str | None = None) -> DataFrame:
     """``row, doc_id, score, spans`` of each row; spans are (start, length, marginal) in characters.
 
     Null and empty texts get the score of a text without evidence and no spans.
@@ -127,16 +127,17 @@ def score(docs: DataFrame, model: crf.Model, id_col: str = "doc_id", text: str =
             arrays = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(spans, _SPANS)]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "score", "spans"])
 
-    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    read = docs.select(row_number(number), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return read.mapInArrow(run, "row bigint, doc_id bigint, score double, spans array<struct<start:bigint,length:bigint,marginal:double>>")
 
 
-def toxicity(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, number: str | None = None) -> DataFrame:
     """``row, doc_id, held_out, score, predicted, spans`` of all rows of ``docs``.
 
     ``labelled_docs`` is where the texts of labelled ids are read.  A null id is
-    not held out.  An empty table gives no rows.
+    not held out.  ``row`` is the column ``number`` of ``docs``, see
+    ``common.numbered``, or a number of this pass only.  An empty table gives no rows.
     """
-    scored = score(docs, fit(sample(labelled_docs, labels)))
+    scored = score(docs, fit(sample(labelled_docs, labels)), number=number)
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
     return scored.select("row", "doc_id", out, "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), "spans")
