@@ -24,15 +24,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import salted_join, stored
 from .winnow import _MIX, _powers, select
 
 PRINT_BYTES = 5
-_TIE_BITS, _START_BITS, _OFFSET_BITS = 23, 32, 8
-_ANCHORS = "seed bigint, doc_id bigint, place bigint, prints binary, known bigint"
+_OFFSET_BITS = 8
+_ANCHORS = "seed bigint, doc_id bigint, tie bigint, place bigint, prints binary, known bigint"
 _NOT_BLANK = re.compile(rb"[^\x20\x09-\x0D]")
 Split = Callable[[str], list[bytes]]
 
@@ -110,20 +110,21 @@ def known_windows(marks: np.ndarray, first: np.ndarray, size: np.ndarray) -> tup
 def _anchors(docs: DataFrame, split: Split, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seeds, ids, places, prints, sizes, null, known = [], [], [], [], [], [], []
+            seeds, ids, ties, places, prints, sizes, null, known = [], [], [], [], [], [], [], []
             for doc_id, tie, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = seeds_of(unit_hashes(split(text or "")), window, gram) if text else None
                 if found is None:
                     continue
                 seed, first, offset, marks = found
-                place = (np.int64(tie) << (_START_BITS + _OFFSET_BITS)) | (first << _OFFSET_BITS) | offset
+                place = (first << _OFFSET_BITS) | offset
                 size = np.diff(np.append(first, len(marks)))
                 again, whole = known_windows(marks, first, size)
                 if whole.any():
-                    seed = np.where(whole, _mixed(place.astype(np.uint64) ^ np.uint64((doc_id or 0) & 0xFFFFFFFFFFFFFFFF)), seed)
+                    seed = np.where(whole, _mixed(place.astype(np.uint64) ^ np.uint64(((doc_id or 0) ^ tie) & 0xFFFFFFFFFFFFFFFF)), seed)
                 known.append(again)
                 seeds.append(seed.view(np.int64))
                 ids.append(np.full(len(seed), doc_id or 0, np.int64))
+                ties.append(np.full(len(seed), tie, np.int64))
                 null.append(np.full(len(seed), doc_id is None))
                 places.append(place)
                 sizes.append(size * PRINT_BYTES)
@@ -133,37 +134,36 @@ def _anchors(docs: DataFrame, split: Split, window: int, gram: int) -> DataFrame
             ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(prints))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(seeds)), pa.array(np.concatenate(ids), mask=np.concatenate(null)), pa.array(np.concatenate(places).astype(np.int64)), packed, pa.array(np.concatenate(known))],
-                names=["seed", "doc_id", "place", "prints", "known"],
+                [pa.array(np.concatenate(seeds)), pa.array(np.concatenate(ids), mask=np.concatenate(null)), pa.array(np.concatenate(ties)), pa.array(np.concatenate(places).astype(np.int64)), packed, pa.array(np.concatenate(known))],
+                names=["seed", "doc_id", "tie", "place", "prints", "known"],
             )
 
     return docs.select("doc_id", "tie", "text").mapInArrow(run, _ANCHORS)
 
 
 def _prepared(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    tie = F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).bitwiseAND((1 << _TIE_BITS) - 1)
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), tie.alias("tie"), F.col(text).cast("string").alias("text"))
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).cast("string").alias("text"))
 
 
 def _windows(anchors: DataFrame) -> DataFrame:
     """One row per window: the anchor's columns, its ``i``, ``offset``, ``print`` and ``own`` (its place, comparable)."""
     n = (F.octet_length("prints") / PRINT_BYTES).cast("int")
-    rows = anchors.select("seed", "doc_id", "place", "known", "prints", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    own = F.struct("doc_id", (F.shiftright("place", _OFFSET_BITS) + F.col("i")).alias("at"))
+    rows = anchors.select("seed", "doc_id", "tie", "place", "known", "prints", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    own = F.struct("doc_id", "tie", (F.shiftright("place", _OFFSET_BITS) + F.col("i")).alias("at"))
     offset = F.col("place").bitwiseAND((1 << _OFFSET_BITS) - 1) - F.col("i")
     mark = F.substring(F.col("prints"), F.col("i") * PRINT_BYTES + 1, F.lit(PRINT_BYTES))
-    return rows.select("seed", "doc_id", "place", "known", "i", offset.alias("offset"), mark.alias("print"), own.alias("own"))
+    return rows.select("seed", "doc_id", "tie", "place", "known", "i", offset.alias("offset"), mark.alias("print"), own.alias("own"))
 
 
 def _masks(windows: DataFrame) -> DataFrame:
     """One row per anchor with repeats: bit i of ``mask`` is set if its window i is one."""
     bit = F.when(F.col("own") > F.col("first"), F.expr("shiftleft(1L, i)")).otherwise(F.lit(0).cast("bigint"))
-    found = windows.groupBy("seed", "doc_id", "place").agg(F.bit_or(F.col("known").bitwiseOR(bit)).alias("mask"))
+    found = windows.groupBy("seed", "doc_id", "tie", "place").agg(F.bit_or(F.col("known").bitwiseOR(bit)).alias("mask"))
     return found.where("mask <> 0")
 
 
 def repeat_masks(anchors: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """``doc_id, place, mask`` of anchors that have repeated windows.
+    """``doc_id, tie, place, mask`` of anchors that have repeated windows.
 
     ``hot``: a broadcastable table of seeds that hold very many rows, or None.
     """
@@ -176,7 +176,7 @@ def repeat_masks(anchors: DataFrame, hot: DataFrame | None) -> DataFrame:
         firsts = frequent.groupBy(*same).agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
         met = salted_join(frequent, firsts, same, F.col("own"), "left").withColumn("first", F.coalesce("first", "own"))
         found = found.unionByName(_masks(met))
-    return found.select("doc_id", "place", "mask")
+    return found.select("doc_id", "tie", "place", "mask")
 
 
 def hot_seeds(anchors: DataFrame, share: int = 4) -> DataFrame:
@@ -228,7 +228,7 @@ def without_repeats(docs: DataFrame, unit: str, window: int, gram: int, id_col:
     """One row per input row: ``doc_id, n_units, n_removed, spans, kept_text``.
 
     ``spans`` are maximal runs of removed units, (start, length) from 0.  Repeats
-    are judged on the input.  Equal ids are ordered by a hash of their text, and
+    are judged on the input.  Equal ids are ordered by a 64-bit hash of their text, and
     rows with equal id and text count as one document.  Null ids come first; null
     texts have no units and stay null-free (empty).  ``keep_anchors`` stores the
     seeds' rows, for units that are few, and splits seeds that hold many of them.
@@ -240,10 +240,8 @@ def without_repeats(docs: DataFrame, unit: str, window: int, gram: int, id_col:
     if keep_anchors:
         anchors = stored(anchors)
     found = repeat_masks(anchors, hot_seeds(anchors) if keep_anchors else None)
-    start = F.shiftright("place", _OFFSET_BITS).bitwiseAND((1 << _START_BITS) - 1)
-    packed = F.shiftleft(start, reach).bitwiseOR(F.col("mask"))
-    tie: Column = F.shiftright("place", _START_BITS + _OFFSET_BITS)
-    by_doc = found.groupBy(F.col("doc_id").alias("_id"), tie.alias("_tie")).agg(F.collect_list(packed).alias("packed"))
+    packed = F.shiftleft(F.shiftright("place", _OFFSET_BITS), reach).bitwiseOR(F.col("mask"))
+    by_doc = found.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_list(packed).alias("packed"))
     met = read.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left").select("doc_id", "text", "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

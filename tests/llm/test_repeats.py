@@ -6,6 +6,9 @@ from fixtures import awkward
 
 from rarelabel.llm import line_dedup, queries, repeats, substring_dedup
 
+#: Ends of two texts, see the test.
+TIED = (4125, 6902)
+
 
 def brute(rows, units_of, window):
     """Removed units by row, rows in order of id and given order for equal ids."""
@@ -111,3 +114,13 @@ def test_each_line_query_finds_runs_of_one_line(docs, spark):
     spark.read.parquet(path).write.parquet(f"{folder}/documents.parquet")
     found = {r.doc_id: (r.n_lines, r.n_removed) for r in queries.QUERIES["op9_each_line"](spark, folder).collect()}
     assert found == {0: (2, 0), 1: (2, 1), 2: (1, 0), 3: (1, 1), 4: (2, 1)}
+
+
+def test_texts_of_one_id_whose_hashes_share_low_bits(docs, spark):
+    """Two texts of a null id, one with a repeat; their 64-bit hashes agree in the lowest 23 bits, see TIED."""
+    long = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, f"{long} {k}", "a") for k in TIED]
+    hashes = [r[0] for r in docs(rows).selectExpr("xxhash64(text)").collect()]
+    assert len({h & (1 << 23) - 1 for h in hashes}) == 1 and len(set(hashes)) == 2
+    found = substring_dedup.remove_repeated_passages(docs([*rows, (7, "", "a")])).collect()
+    assert sorted(r.n_removed for r in found) == [0, 0, 30]
