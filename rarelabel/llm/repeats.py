@@ -4,7 +4,7 @@ A window of ``window`` units is a repeat if the same units also start at an
 earlier place: a smaller document id, or the same document further left.  Equal
 windows hold the same seed, the smallest hash among their grams of ``gram``
 units (rightmost on ties), at the same offset.  So rows are made per seed, about
-two for each ``window - gram + 2`` units, not per window; a row carries 40-bit
+two for each ``window - gram + 2`` units, not per window; a row carries 64-bit
 prints of the windows around its seed, which extend a match to both sides.
 
 Windows that repeat one of their own document are known without a lookup; a row
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import salted_join, stored
 from .winnow import _MIX, _powers, select
 
-PRINT_BYTES = 5
+PRINT_BYTES = 8
 _OFFSET_BITS = 8
 _ANCHORS = "seed bigint, doc_id bigint, tie bigint, place bigint, prints binary, known bigint"
 _NOT_BLANK = re.compile(rb"[^\x20\x09-\x0D]")
@@ -128,7 +128,7 @@ def _anchors(docs: DataFrame, split: Split, window: int, gram: int) -> DataFrame
                 null.append(np.full(len(seed), doc_id is None))
                 places.append(place)
                 sizes.append(size * PRINT_BYTES)
-                prints.append(np.ascontiguousarray(marks.view(np.uint8).reshape(-1, 8)[:, :PRINT_BYTES]).ravel())
+                prints.append(np.ascontiguousarray(marks).view(np.uint8))
             if not seeds:
                 continue
             ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)

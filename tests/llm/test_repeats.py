@@ -124,3 +124,13 @@ def test_texts_of_one_id_whose_hashes_share_low_bits(docs, spark):
     assert len({h & (1 << 23) - 1 for h in hashes}) == 1 and len(set(hashes)) == 2
     found = substring_dedup.remove_repeated_passages(docs([*rows, (7, "", "a")])).collect()
     assert sorted(r.n_removed for r in found) == [0, 0, 30]
+
+
+def test_windows_whose_prints_share_40_bits(docs):
+    """Windows of one seed and offset that differ in a word; their 64-bit prints agree in the lowest 40 bits."""
+    texts = [" ".join([first, *(f"b{i}" for i in range(1, 20))]) for first in ("v755535", "v5019477")]
+    seeds, _, offsets, marks = zip(*(repeats.seeds_of(repeats.unit_hashes(repeats.words_of(t)), 20, 5) for t in texts), strict=True)
+    assert seeds[0] == seeds[1] and offsets[0] == offsets[1] and marks[0] != marks[1]
+    assert len({int(m[0]) & (1 << 40) - 1 for m in marks}) == 1
+    found = substring_dedup.remove_repeated_passages(docs([(i, t, "a") for i, t in enumerate(texts)])).collect()
+    assert [r.n_removed for r in found] == [0, 0]
