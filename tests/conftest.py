@@ -40,8 +40,3 @@ def classes(spark):
         return spark.range(total).select("id", label.alias("label"))
 
     return make
-
-
-def rows(df, *columns):
-    picked = df.select(*columns) if columns else df
-    return sorted(tuple(r) for r in picked.collect())

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import rows
+from comparing import rows
 from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import functions as F
 

@@ -1,6 +1,6 @@
 import duckdb
 import pytest
-from conftest import rows
+from comparing import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
