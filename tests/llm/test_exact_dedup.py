@@ -2,7 +2,7 @@ import collections
 import hashlib
 
 import pytest
-from fixtures import awkward
+from awkward_tables import awkward
 from pyspark.sql import functions as F
 
 from rarelabel.llm import exact_dedup

@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from fixtures import awkward
+from awkward_tables import awkward
 
 from rarelabel.llm import hyperminhash, minhash
 from rarelabel.llm.components import components

@@ -2,7 +2,7 @@ import collections
 import re
 
 import pytest
-from fixtures import awkward
+from awkward_tables import awkward
 
 from rarelabel.llm import mixing
 

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from fixtures import awkward
+from awkward_tables import awkward
 
 from rarelabel.llm import packing
 from rarelabel.llm.tokens import ByteIds

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from fixtures import awkward
+from awkward_tables import awkward
 
 from rarelabel.llm import line_dedup, queries, repeats, substring_dedup
 

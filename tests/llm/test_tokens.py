@@ -5,7 +5,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from fixtures import awkward
+from awkward_tables import awkward
 
 from rarelabel.llm.token_counts import token_counts
 from rarelabel.llm.tokens import ByteIds, PieceCounter

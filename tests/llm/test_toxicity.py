@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from fixtures import awkward
+from awkward_tables import awkward
 
 from rarelabel.llm import crf, toxicity
 

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from fixtures import awkward
+from awkward_tables import awkward
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
