@@ -63,3 +63,10 @@ def number_in_order(df: DataFrame, order: Sequence[Column], out: str) -> DataFra
         )
         .drop("_part", "_place", "_offset")
     )
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``scratch_path`` named, in whichever file system it lies."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
