@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_dedup, minhash, mixing, packing, substring_dedup, token_counts, toxicity, winnow
+from . import chat, exact_dedup, line_dedup, minhash, mixing, packing, substring_dedup, token_counts, toxicity, vector_codes, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -190,3 +190,40 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size(turns).cast("bigint").alias("n_turns"), F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
         F.char_length(learned).cast("bigint").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), F.char_length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+def _code_rounds_sql() -> str:
+    """Each round of the codebooks as two more steps of one statement."""
+    steps = []
+    for t in range(vector_codes.ROUNDS + 1):
+        steps.append(
+            f"""a{t} AS MATERIALIZED (SELECT vec_id, part, any_value(x) AS x, min(16 * d + entry) % 16 AS entry, min(16 * d + entry) // 16 AS d
+            FROM (SELECT vec_id, p.part, p.x, entry, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))::bigint AS d
+                  FROM p JOIN c{t} c ON c.part = p.part) GROUP BY 1, 2)"""
+        )
+        if t < vector_codes.ROUNDS:
+            steps.append(
+                f"""c{t + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.x, c{t}.x) AS x FROM c{t} LEFT JOIN
+                (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::bigint ORDER BY i) AS x
+                 FROM (SELECT part, entry, i, sum(x[i]) AS s, count(*) AS n FROM a{t}, range(1, len(x) + 1) r(i) GROUP BY 1, 2, 3) GROUP BY 1, 2) m USING (part, entry))"""
+            )
+    return ", ".join(steps)
+
+
+@query(
+    "op13_vector_codes",
+    f"""
+    WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x)::bigint) AS u FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS MATERIALIZED (SELECT vec_id, part, u[part * (len(u) // 8) + 1:(part + 1) * (len(u) // 8)] AS x FROM k, range(8) t(part)),
+    c0 AS MATERIALIZED (SELECT part, entry, x FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < 16),
+    {_code_rounds_sql()},
+    r AS (SELECT vec_id, string_agg(printf('%02x', entry::int), '' ORDER BY part) AS code, sum(d)::bigint AS error FROM a{vector_codes.ROUNDS} GROUP BY 1),
+    b AS (SELECT sha256(string_agg(x[i]::varchar, ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM c{vector_codes.ROUNDS}, range(1, len(x) + 1) t(i))
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::bigint AS label_error, codebooks_sha256 FROM r JOIN k USING (vec_id), b
+    """,
+)
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.encode(_table(spark, sf_dir, "embeddings"))
+    found = vector_codes.with_label_error(codes.rows)
+    return found.select("vec_id", F.lower(F.hex("owners")).alias("code"), "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
