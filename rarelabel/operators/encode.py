@@ -15,6 +15,7 @@ MISSING = "__missing__"
 SINGLE_TASK_VALUES = 1_000_000
 BROADCAST_VALUES = 200_000
 BROADCAST_BYTES = 64 << 20
+_PARTS = 4_096
 
 
 def missing_as_category(column: Column, tokens: Sequence[str] = ()) -> Column:
@@ -70,6 +71,7 @@ class Vocabulary:
         )
 
     def _attach(self, df: DataFrame, column: str, size: int) -> DataFrame:
+        """One broadcast join, and for a large column one more join by shuffle; the input is read once."""
         index = _index(column)
         words = self.table.filter(F.col("column") == column).select(
             F.col("value").alias("_value"), F.col("idx").cast("double").alias(index)
@@ -78,14 +80,20 @@ class Vocabulary:
         limit = self.heads[column]
         if size <= limit:
             return df.join(F.broadcast(words), match, "left").drop("_value")
-        # Frequent values have the smallest indexes: the first ``limit`` of them
-        # are broadcast and take the hot keys out of the shuffle join.
-        head = words.filter(F.col(index) < limit)
-        tail = words.filter(F.col(index) >= limit)
-        tried = df.join(F.broadcast(head), match, "left").drop("_value")
-        known = tried.filter(F.col(index).isNotNull() | F.col(f"`{column}`").isNull())
-        rare = tried.filter(F.col(index).isNull() & F.col(f"`{column}`").isNotNull()).drop(index)
-        return known.unionByName(rare.join(tail, match, "left").drop("_value"))
+        # Frequent values have the smallest indexes.  Rows whose value is one of the
+        # first ``limit``, or null, are settled before the shuffle and dealt there by
+        # a hash of the row to parts that hold no values, so no key is hot.
+        head = words.filter(F.col(index) < limit).withColumnRenamed(index, "_head")
+        # the part belongs to one key with the value: as a column of its own it would be seen to be constant
+        tail = words.filter(F.col(index) >= limit).select(F.struct(F.col("_value").alias("v"), F.lit(0).alias("part")).alias("_key"), index)
+        whole = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+        value = F.col(f"`{column}`").cast("string")
+        settled = F.col("_head").isNotNull() | value.isNull()
+        dealt = F.pmod(F.xxhash64(*whole), F.lit(_PARTS)).cast("int") + 1
+        own = F.struct(F.when(~settled, value).alias("v"), F.when(settled, dealt).otherwise(F.lit(0)).alias("part"))
+        tried = df.join(F.broadcast(head), match, "left").drop("_value").withColumn("_own", own)
+        found = tried.join(tail, F.col("_own") == F.col("_key"), "left")
+        return found.withColumn(index, F.coalesce("_head", index)).drop("_head", "_own", "_key")
 
 
 def _index(column: str) -> str:
@@ -103,8 +111,8 @@ def fit_vocabulary(
 
     Index 0 is the most frequent value; equal counts are ordered by value.
     Booleans are indexed by their text.  At most ``broadcast_values`` values of a
-    column are ever broadcast, fewer if the longest of them could make that more
-    than ``broadcast_bytes``.
+    column are ever broadcast, and those of all columns together take at most
+    ``broadcast_bytes``, each counted as long as its column's longest.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -127,10 +135,12 @@ def fit_vocabulary(
     )
     found = {r["column"]: r for r in measured.collect()}
     sizes = {c: found[c]["values"] if c in found else 0 for c in columns}
-    heads = {
-        c: min(broadcast_values, broadcast_bytes // (found[c]["longest"] + 64)) if c in found else 0
-        for c in columns
-    }
+    cost = {c: found[c]["longest"] + 64 if c in found else 64 for c in columns}
+    # columns that need little leave the rest of their share to others
+    heads, left = {}, broadcast_bytes
+    for done, c in enumerate(sorted(columns, key=lambda c: (sizes[c] * cost[c], c))):
+        heads[c] = min(sizes[c], broadcast_values, left // (len(columns) - done) // cost[c])
+        left -= heads[c] * cost[c]
     order = [F.col("n").desc(), F.col("value").asc()]
     if max(sizes.values(), default=0) <= single_task_values:
         within = Window.partitionBy("column").orderBy(*order)

@@ -96,3 +96,39 @@ def test_class_counts_are_checked(spark):
         counts.class_counts(df, limit=1)
     with pytest.raises(ValueError, match="null"):
         counts.class_counts(df.unionByName(spark.createDataFrame([(None,)], "label int")))
+
+
+def test_input_is_read_once_however_many_columns_are_large(spark, tmp_path):
+    names = [f"c{k}" for k in range(6)]
+    made = spark.range(400).select("id", *[F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(((F.col("id") * (k + 2)) % 97).cast("string")).alias(n) for k, n in enumerate(names)])
+    made.write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    for large in (1, 3, 6):
+        found = encode.fit_vocabulary(df.select("id", *names[:large]), names[:large], broadcast_values=5)
+        assert all(found.sizes[n] > found.heads[n] for n in names[:large])
+        out = found.transform(df, "keep")
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [id") == 1
+        small = encode.fit_vocabulary(df.select("id", *names[:large]), names[:large]).transform(df, "keep")
+        assert rows(out) == rows(small.select(*out.columns))
+
+
+def test_all_columns_share_one_byte_budget(spark):
+    df = spark.range(3000).select(*[F.concat(F.lit("x" * 36), (F.col("id") % m).cast("string")).alias(n) for n, m in (("a", 10), ("b", 1000), ("c", 3000))])
+    found = encode.fit_vocabulary(df, ["a", "b", "c"], broadcast_bytes=60_000)
+    assert found.heads["a"] == 10 and 0 < found.heads["c"] <= found.heads["b"] < 1000
+    assert sum(found.heads[c] * (64 + 36 + len(str(n - 1))) for c, n in (("a", 10), ("b", 1000), ("c", 3000))) <= 60_000
+
+
+def test_rows_of_hot_values_are_spread(spark, monkeypatch):
+    """Rows that the broadcast part settles do not meet in one partition."""
+    df = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 5 == 0, None).otherwise(F.col("id").cast("string")).alias("v"))
+    found = encode.fit_vocabulary(df, ["v"], broadcast_values=1)
+    monkeypatch.setattr(encode, "_PARTS", 64)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = found.transform(df, "keep").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(held) == 8 and max(r["count"] for r in held) < 3 * 4000 / 8
