@@ -57,7 +57,8 @@ def cross_validator(
     return cv.setFoldCol(fold_col) if fold_col else cv
 
 
-def _run(tasks: Sequence[Callable[[], Any]], parallelism: int) -> list[Any]:
+def run_side_by_side(tasks: Sequence[Callable[[], Any]], parallelism: int) -> list[Any]:
+    """Results of jobs started from a few driver threads, in order."""
     pool = ThreadPool(processes=max(1, min(parallelism, len(tasks))))
     try:
         return pool.map(inheritable_thread_target(lambda task: task()), tasks)
@@ -91,7 +92,7 @@ def cross_validate(
                 def one(params: Mapping[Any, Any], train=ready, test=test) -> float:
                     return float(evaluator.evaluate(estimator.fit(train, dict(params)).transform(test)))
 
-                found = _run([lambda p=p: one(p) for p in grid], parallelism)
+                found = run_side_by_side([lambda p=p: one(p) for p in grid], parallelism)
             rows += [(describe(p), fold, m) for p, m in zip(grid, found)]
     return df.sparkSession.createDataFrame(rows, RESULT)
 
@@ -118,7 +119,7 @@ def repeated_holdout(
             return [(round_id, name, float(e.evaluate(scored))) for name, e in evaluators.items()]
 
     with held_in_memory(df) as held:
-        parts = _run([lambda r=r: one(r, held) for r in range(rounds)], parallelism)
+        parts = run_side_by_side([lambda r=r: one(r, held) for r in range(rounds)], parallelism)
     return df.sparkSession.createDataFrame(
         [row for part in parts for row in part], "round int, metric string, value double"
     )
