@@ -190,6 +190,19 @@ def macro_auc(spark, sf_dir):
     )
 
 
+@query(
+    "ovr_auc_by_round",
+    f"""WITH {_PRED}, yy AS (SELECT DISTINCT label AS c FROM z), zz AS (SELECT round, c AS label, score, z.label = c AS hit FROM z, yy),
+        {_AREA.format(by='round, label').replace('FROM z ', 'FROM zz ')}
+        SELECT round, label, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc FROM areas""",
+)
+def ovr_auc_by_round(spark, sf_dir):
+    """Each class against the others, round by round."""
+    rows = _predictions(spark, sf_dir)
+    areas = curves.one_vs_rest_areas(rows, "score", "label", list(class_counts(rows)), ["round"])
+    return areas.select("round", "label", r6("roc_auc", "roc_auc"), r6("pr_auc", "pr_auc"))
+
+
 _REPORT_SQL = f"""WITH {_PRED}, {_TOTALS.format(by='round,')},
     o AS ({_OVERALL_SQL.format(by='round,')}),
     zz AS (SELECT round, score, label = 'R' AS hit FROM z),

@@ -32,13 +32,15 @@ def _ratio(top: Column, bottom: Column, empty: float | None) -> Column:
 
 
 def class_totals(
-    counts: DataFrame, by: Sequence[str] = (), domain: DataFrame | None = None
+    counts: DataFrame, by: Sequence[str] = (), domain: DataFrame | None = None, groups: DataFrame | None = None
 ) -> DataFrame:
     """``(by..., label, tp, fp, fn, tn)`` for every class.
 
     ``domain`` holds the labels of the whole data set in its first column, so
-    that classes missing from the predictions are listed too.  ``counts`` is
-    used once: nothing here computes the predictions a second time.
+    that classes missing from the predictions are listed too.  ``groups`` holds
+    all groups in its columns ``by``; with a domain, those without predictions are
+    listed too, with all classes at zero.  ``counts`` is used once: nothing here
+    computes the predictions a second time.
     """
     kind = counts.schema["label"].dataType
     hit = F.col("label") == F.col("prediction")
@@ -64,6 +66,9 @@ def class_totals(
     elif domain is not None:
         labels = [r[0] for r in collect_bounded(domain, MAX_CLASSES, "classes")]
         absent = F.array(*[part(F.lit(c), zero, zero, zero, zero) for c in labels])
+    if domain is not None and by and groups is not None:
+        split = split.unionByName(groups.select(*by).distinct().select(*by, F.inline(absent)))
+    elif domain is not None and by:
         first = F.row_number().over(group.orderBy("label", "prediction")) == 1
         counts = counts.withColumn("_first", first)
         split = counts.select(*by, F.inline(F.when(F.col("_first"), F.concat(parts, absent)).otherwise(parts)))

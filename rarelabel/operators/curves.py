@@ -1,10 +1,11 @@
-"""Exact areas under the ROC and precision-recall curves.
-
-Rows are first reduced to one row per score, and that table is stored once so
-that the rows behind it are never computed twice.  If a group has many scores,
-they are cut into ranges at approximate quantiles; running counts are made
-inside each range and shifted by the totals of the ranges above it.  The cut
-points only balance the work: the areas are exact wherever they lie.
+"""Exact areas under the ROC and precision-recall curves, by two-level prefix sums.
+
+Rows are first reduced to one row per group and score.  That table is sorted by
+range in parallel and stored once, so rows of a group lie in order over a few
+partitions, and rows behind it are never computed twice.  Running counts are made
+inside each partition and shifted by the totals of the group's earlier partitions,
+of which there is one row each.  Equal scores share a partition, and the areas are
+exact wherever the cuts lie.
 """
 
 from __future__ import annotations
@@ -12,15 +13,13 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions.ranking import ensure_checkpoint_dir
 
-ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 20_000
+_PARTITION_BITS = 33  # layout of monotonically_increasing_id
 
 
 def score_counts(
@@ -36,19 +35,20 @@ def score_counts(
     )
 
 
-def one_vs_rest_counts(scored: DataFrame, score: str, label: str, classes: Sequence) -> DataFrame:
-    """``(label, score, p, n)`` with each class in turn as the positive one.
+def one_vs_rest_counts(scored: DataFrame, score: str, label: str, classes: Sequence, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., label, score, p, n)`` with each class in turn as the positive one.
 
     All classes are judged on the same score column.
     """
     per_score = (
-        scored.groupBy(F.col(score).alias("score"))
+        scored.groupBy(*by, F.col(score).alias("score"))
         .agg(
             F.count(F.lit(1)).alias("_all"),
             *[F.count_if(F.col(label) == F.lit(c)).alias(f"_p{i}") for i, c in enumerate(classes)],
         )
     )
     return per_score.select(
+        *by,
         "score",
         F.inline(
             F.array(
@@ -62,7 +62,7 @@ def one_vs_rest_counts(scored: DataFrame, score: str, label: str, classes: Seque
                 ]
             )
         ),
-    ).select("label", "score", "p", "n")
+    ).select(*by, "label", "score", "p", "n")
 
 
 def _unscored(counts: DataFrame) -> Column:
@@ -72,55 +72,39 @@ def _unscored(counts: DataFrame) -> Column:
     return missing
 
 
-def _with_range(counts: DataFrame, by: Sequence[str], rows_per_range: int) -> DataFrame:
-    """Add ``_range``, a number that never falls as the score rises."""
-    sizes = counts.groupBy(*by).count().agg(F.sum("count"), F.max("count")).first()
-    total, largest = sizes[0] or 0, sizes[1] or 0
-    if largest <= rows_per_range:
-        return counts.withColumn("_range", F.lit(0.0))
-    # cuts over all groups together: no group has more rows in a range than that
-    ranges = min(MAX_RANGES, -(-total // rows_per_range))
-    shares = [i / ranges for i in range(1, ranges)]
-    # a cast to double keeps the order, and the score itself stays as it is
-    counts = counts.withColumn("_at", F.col("score").cast("double"))
-    found = counts.agg(F.percentile_approx("_at", shares, 10 * ranges).alias("cuts")).first()
-    cuts = sorted({float(c) for c in found["cuts"]} - {float("-inf"), float("inf")})
-    splits = [float("-inf"), *cuts, float("inf")]
-    if len(splits) < 3:
-        return counts.drop("_at").withColumn("_range", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol="_at", outputCol="_range").transform(counts).drop("_at")
-
-
-def curve_areas(
-    counts: DataFrame,
-    by: Sequence[str] = (),
-    rows_per_range: int = ROWS_PER_RANGE,
-    unscored: str = "warn",
-) -> DataFrame:
+def sorted_by_score(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``counts`` in order of group and falling score, stored, with ``_part``, the number of a row's partition."""
+    ensure_checkpoint_dir(counts.sparkSession)
+    placed = counts.orderBy(*[F.col(c) for c in by], F.col("score").desc()).checkpoint(eager=True)
+    return placed.withColumn("_part", F.shiftright(F.monotonically_increasing_id(), _PARTITION_BITS))
+
+
+def curve_areas(counts: DataFrame, by: Sequence[str] = (), unscored: str = "warn") -> DataFrame:
     """``(by..., positives, negatives, roc_auc, pr_auc)``, exact.
 
     An area is null if its curve does not exist.  Scores are compared in their
     own type.  Rows whose score is null or NaN count for neither side; a warning
     tells their number, or an error if ``unscored`` is "error".
     """
+    return areas_of_sorted(sorted_by_score(counts, by), by, unscored)
+
+
+def areas_of_sorted(stored: DataFrame, by: Sequence[str] = (), unscored: str = "warn") -> DataFrame:
+    """``curve_areas`` of what ``sorted_by_score`` gave; several rows may have one score."""
     by = list(by)
-    ensure_checkpoint_dir(counts.sparkSession)
-    stored = counts.checkpoint(eager=True)
     missing = stored.filter(_unscored(stored)).agg(F.sum(F.col("p") + F.col("n"))).first()[0]
     if missing:
         message = f"{missing} rows have no score"
         if unscored == "error":
             raise ValueError(message)
-        warnings.warn(f"{message} and are left out", stacklevel=2)
+        warnings.warn(f"{message} and are left out", stacklevel=3)
         stored = stored.filter(~_unscored(stored))
-    ranged = _with_range(stored, by, rows_per_range)
-    keys = [*by, "_range"]
+    keys = [*by, "_part"]
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    above = whole.orderBy(F.col("_range").desc())
-    earlier = above.rowsBetween(Window.unboundedPreceding, -1)
-    # at most MAX_RANGES rows per group
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each partition of the table and each group in it
     totals = (
-        ranged.groupBy(*keys)
+        stored.groupBy(*keys)
         .agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
         .select(
             *keys,
@@ -132,8 +116,10 @@ def curve_areas(
     )
     down = Window.partitionBy(*keys).orderBy(F.col("score").desc())
     running = down.rowsBetween(Window.unboundedPreceding, 0)
+    # dealt by group and partition once, for the sums by score and the running sums
+    at_score = stored.repartition(*keys).groupBy(*keys, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     points = (
-        ranged.withColumn("_tp", F.sum("p").over(running))
+        at_score.withColumn("_tp", F.sum("p").over(running))
         .withColumn("_fp", F.sum("n").over(running))
         .join(totals, keys)
         .withColumn("_tp", (F.col("_tp") + F.col("_tp0")).cast("double"))
@@ -165,25 +151,19 @@ def binary_areas(
     label: str = "label",
     positive: object = 1,
     by: Sequence[str] = (),
-    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Areas for one positive class against all other rows."""
     counts = score_counts(scored, score, F.col(label) == F.lit(positive), by)
-    return curve_areas(counts, by, rows_per_range)
+    return curve_areas(counts, by)
 
 
-def one_vs_rest_areas(
-    scored: DataFrame, score: str, label: str, classes: Sequence, rows_per_range: int = ROWS_PER_RANGE
-) -> DataFrame:
-    """Areas with each class in turn as the positive one."""
-    counts = one_vs_rest_counts(scored, score, label, classes)
-    return curve_areas(counts, ["label"], rows_per_range)
+def one_vs_rest_areas(scored: DataFrame, score: str, label: str, classes: Sequence, by: Sequence[str] = ()) -> DataFrame:
+    """Areas with each class in turn as the positive one, for each group of ``by``."""
+    return curve_areas(one_vs_rest_counts(scored, score, label, classes, by), [*by, "label"])
 
 
-def class_score_areas(
-    scored: DataFrame, scores: str, label: str, classes: Sequence, rows_per_range: int = ROWS_PER_RANGE
-) -> DataFrame:
-    """Areas per class when every class has its own score.
+def class_score_areas(scored: DataFrame, scores: str, label: str, classes: Sequence, by: Sequence[str] = ()) -> DataFrame:
+    """Areas per class when every class has its own score, for each group of ``by``.
 
     ``scores`` is an array column in the order of ``classes``, such as the class
     probabilities of a classifier.
@@ -198,11 +178,11 @@ def class_score_areas(
             for i, c in enumerate(classes)
         ]
     )
-    long = scored.select(F.inline(sides))
-    counts = score_counts(long, "score", F.col("hit"), ["label"])
-    return curve_areas(counts, ["label"], rows_per_range)
+    long = scored.select(*by, F.inline(sides))
+    counts = score_counts(long, "score", F.col("hit"), [*by, "label"])
+    return curve_areas(counts, [*by, "label"])
 
 
-def macro_areas(areas: DataFrame) -> DataFrame:
+def macro_areas(areas: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Plain average over the classes that have an area."""
-    return areas.agg(F.avg("roc_auc").alias("roc_auc"), F.avg("pr_auc").alias("pr_auc"))
+    return areas.groupBy(*by).agg(F.avg("roc_auc").alias("roc_auc"), F.avg("pr_auc").alias("pr_auc"))

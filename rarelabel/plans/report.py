@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import ensure_checkpoint_dir
 from ..operators import confusion as cm
-from ..operators.curves import ROWS_PER_RANGE, curve_areas
+from ..operators.curves import areas_of_sorted, sorted_by_score
 
 CLASS_METRICS = ("precision", "recall", "f1", "fpr")
 OVERALL_METRICS = (
@@ -44,22 +44,19 @@ def evaluation_report(
     domain: DataFrame | None = None,
     score: str | None = None,
     positive: Any = None,
-    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """``(by..., label, metric, value)``; ``label`` is null for overall metrics.
 
     The prediction table is read once.  Rows are counted by label, prediction
-    and, if ``score`` is given, score; everything else comes from those counts.
+    and, if ``score`` is given, score in its own type; those counts are stored once, in
+    order of the score, and everything else comes from them.
     """
     if score is not None and positive is None:
         raise ValueError("areas need the positive class; use one-vs-rest areas for several classes")
     ensure_checkpoint_dir(predictions.sparkSession)
-    scores = [F.col(score).cast("double").alias("score")] if score is not None else []
-    counted = (
-        predictions.groupBy(*by, F.col(label).alias("label"), F.col(prediction).alias("prediction"), *scores)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .checkpoint(eager=True)
-    )
+    scores = [F.col(score).alias("score")] if score is not None else []
+    counted = predictions.groupBy(*by, F.col(label).alias("label"), F.col(prediction).alias("prediction"), *scores).agg(F.count(F.lit(1)).alias("n"))
+    counted = sorted_by_score(counted, by) if score is not None else counted.checkpoint(eager=True)
     counts = counted.groupBy(*by, "label", "prediction").agg(F.sum("n").alias("n"))
     totals = cm.class_totals(counts, by, domain)
     kind = totals.schema["label"].dataType
@@ -69,11 +66,9 @@ def evaluation_report(
     report = per_class.unionByName(overall)
     if score is not None:
         hit = F.col("label") == F.lit(positive)
-        points = counted.groupBy(*by, "score").agg(
-            F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("p"),
-            F.sum(F.when(hit, 0).otherwise(F.col("n"))).alias("n"),
-        )
-        areas = curve_areas(points, by, rows_per_range)
+        nothing = F.lit(0).cast("bigint")
+        points = counted.select(*by, "score", "_part", F.when(hit, F.col("n")).otherwise(nothing).alias("p"), F.when(hit, nothing).otherwise(F.col("n")).alias("n"))
+        areas = areas_of_sorted(points, by)
         report = report.unionByName(_long(areas.withColumn("label", nobody), [*by, "label"], AREAS))
     return report.select(*by, F.col("label").cast("string").alias("label"), "metric", "value")
 

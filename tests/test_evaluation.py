@@ -60,22 +60,66 @@ def test_absent_class_is_listed_in_every_group(spark, predictions):
     assert ghost.filter("recall is not null").count() == 0
 
 
-@pytest.mark.parametrize("size", [10**6, 20, 1])
-def test_areas_match_the_library_for_any_range_size(predictions, size):
+@pytest.fixture(params=["1", "8", "100"])
+def partitions(spark, request):
+    """Sorted tables in so many partitions."""
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield int(request.param)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_areas_match_the_library_for_any_partitions(predictions, partitions):
     binary = predictions.withColumn("label", (F.col("label") == 1).cast("double"))
-    areas = curves.binary_areas(binary, "score", positive=1.0, rows_per_range=size).first()
+    areas = curves.binary_areas(binary, "score", positive=1.0).first()
     for ours, theirs in (("roc_auc", "areaUnderROC"), ("pr_auc", "areaUnderPR")):
         want = BinaryClassificationEvaluator(rawPredictionCol="score", metricName=theirs, numBins=0).evaluate(binary)
         assert areas[ours] == pytest.approx(want, abs=1e-12)
 
 
-def test_grouped_areas_with_ranges(predictions):
-    got = curves.binary_areas(predictions, "score", "label", 1.0, ["round"], rows_per_range=5)
+def test_grouped_areas(predictions, partitions):
+    got = curves.binary_areas(predictions, "score", "label", 1.0, ["round"])
     for r in (0, 1):
         alone = curves.binary_areas(predictions.filter(F.col("round") == r), "score", "label", 1.0).first()
         assert got.filter(F.col("round") == r).first().roc_auc == pytest.approx(alone.roc_auc)
 
 
+def test_scores_are_sorted_once_and_spread(spark, predictions, partitions):
+    """One group's scores lie in order over several partitions; no partition holds them all."""
+    placed = curves.sorted_by_score(curves.score_counts(predictions, "score", F.col("label") == 1.0), [])
+    ranges = placed.groupBy("_part").agg(F.min("score").alias("low"), F.max("score").alias("high")).orderBy("_part").collect()
+    assert (len(ranges) > 1) == (partitions > 1)
+    assert all(a.low > b.high for a, b in zip(ranges, ranges[1:]))
+
+
+def test_one_vs_rest_by_group(predictions, partitions):
+    classes = [0.0, 1.0, 2.0]
+    got = {(r["round"], r.label): (r.roc_auc, r.pr_auc) for r in curves.one_vs_rest_areas(predictions, "score", "label", classes, ["round"]).collect()}
+    assert len(got) == 6
+    for r in (0, 1):
+        for x in curves.one_vs_rest_areas(predictions.filter(F.col("round") == r), "score", "label", classes).collect():
+            assert got[r, x.label] == pytest.approx((x.roc_auc, x.pr_auc))
+    macro = {r["round"]: r.roc_auc for r in curves.macro_areas(curves.one_vs_rest_areas(predictions, "score", "label", classes, ["round"]), ["round"]).collect()}
+    assert macro[1] == pytest.approx(sum(got[1, c][0] for c in classes) / 3)
+
+
+def test_report_compares_scores_in_their_own_type(spark):
+    """Scores that are one double but two whole numbers."""
+    big = 2**60
+    df = spark.createDataFrame([(1.0, 1.0, big + 1), (0.0, 0.0, big)], "label double, prediction double, score bigint")
+    found = {r.metric: r.value for r in evaluation_report(df, score="score", positive=1.0).where("label is null").collect()}
+    assert found["roc_auc"] == 1.0
+
+
+def test_groups_without_predictions_are_listed(spark, predictions):
+    domain = spark.createDataFrame([(0.0,), (1.0,), (2.0,)], "label double")
+    groups = spark.createDataFrame([(0,), (1,), (2,)], "round int")
+    totals = cm.class_totals(cm.confusion(predictions, ["round"]), ["round"], domain, groups)
+    assert rows(totals.where("round = 2")) == [(2, c, 0, 0, 0, 0) for c in (0.0, 1.0, 2.0)]
+    assert rows(totals.where("round < 2")) == rows(cm.class_totals(cm.confusion(predictions, ["round"]), ["round"], domain))
+
+
 def test_reversing_scores_mirrors_the_area(spark):
     df = spark.range(100).selectExpr("cast(id % 4 = 0 as int) label", "cast(id * 17 % 101 as double) s")
     up = curves.binary_areas(df, "s").first().roc_auc
