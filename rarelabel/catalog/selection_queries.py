@@ -6,8 +6,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.features import Features
-from ..operators import chisq, pca
-from .base import query, r6, table
+from ..functions.ranking import ensure_checkpoint_dir, scratch_path
+from ..operators import chisq, impute, pca
+from ..operators.resample import oversample
+from ..operators.split import with_side
+from ..sources import variants
+from .base import LINE_KEY, LINE_KEY_SQL, SEED, below_sql, h60, query, r6, table
 
 NAMES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "late"]
 FEATURES = Features.columns(NAMES)
@@ -41,6 +45,7 @@ _NAME = "(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'late'])[pos
 
 
 def _scores(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
     return chisq.chi_square_scores(_rows(spark, sf_dir), FEATURES, "l_returnflag")
 
 
@@ -142,3 +147,123 @@ def pca_project(spark, sf_dir):
 def pca_components(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
     return pca.component_table(rows, pca.fit_pca(rows, 5))
+
+
+@query(
+    "pca_spectrum",
+    f"""WITH {_EMB}, c AS (SELECT a.pos AS i, b.pos AS j, covar_samp(a.value, b.value) AS cov FROM v a JOIN v b ON a.vec_id = b.vec_id GROUP BY 1, 2)
+        SELECT 64::bigint AS components, round(sum(cov) FILTER (WHERE i = j), 6) AS total, round(sum(cov * cov), 6) AS squares,
+               0.0::double AS largest_residual, 0.0::double AS length_gap FROM c""",
+)
+def pca_spectrum(spark, sf_dir):
+    """All components solve C v = lambda v: eigenvalues add up to the variance, their squares to that of the whole matrix."""
+    rows = _vectors(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    found = pca.spectrum(rows, pca.fit_pca(rows, 64))
+    return found.agg(
+        F.count(F.lit(1)).alias("components"), r6(F.sum("eigenvalue"), "total"), r6(F.sum(F.col("eigenvalue") * F.col("eigenvalue")), "squares"),
+        r6(F.max("residual"), "largest_residual"), r6(F.max(F.abs(F.col("length") - 1)), "length_gap"),
+    )
+
+
+# ---- published variants ------------------------------------------------------
+
+def _label():
+    flag = F.col("l_returnflag")
+    return F.when(flag == "A", 0.0).when(flag == "N", 1.0).otherwise(2.0).alias("label")
+
+
+def _sums_by_position(back, width):
+    long = Features.of_vector("features", width).long(back, ["label"])
+    return long.groupBy("label", "pos").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query(
+    "variant_chisq",
+    f"""WITH {_SCORES}, p AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS np FROM ranked WHERE rank <= 3)
+        SELECT CASE label WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END::double AS label, np::int AS pos, count(*) AS n, round(sum(value), 2) AS total
+        FROM x JOIN p USING (pos) GROUP BY 1, 2""",
+)
+def variant_chisq(spark, sf_dir):
+    """The best three columns by chi-square, published and read back."""
+    rows = _rows(spark, sf_dir)
+    ranked = chisq.rank_features(chisq.chi_square_scores(rows, FEATURES, "l_returnflag"))
+    kept = chisq.project(rows, FEATURES, chisq.selected_positions(ranked, 3), ["l_returnflag"])
+    names = [c for c in kept.columns if c != "l_returnflag"]
+    made = kept.select(_label(), array_to_vector(F.array(*[F.col(c).cast("double") for c in names])).alias("features"))
+    root = scratch_path(spark, "variants")
+    variants.publish(made, len(names), root, "lineitem", "chisq", 3)
+    return _sums_by_position(variants.read_variant(spark, root, "lineitem", "chisq", 3), 3)
+
+
+@query(
+    "variant_pca",
+    """SELECT label::double AS label, count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 4) AS squares FROM embeddings GROUP BY 1""",
+)
+def variant_pca(spark, sf_dir):
+    """All components published and read back: a rotation keeps the squares of every class."""
+    rows = _vectors(spark, sf_dir)
+    root = scratch_path(spark, "variants")
+    variants.publish(pca.pca_project(rows, pca.fit_pca(rows, 64)), 64, root, "embeddings", "pca", 64)
+    back = variants.read_variant(spark, root, "embeddings", "pca", 64)
+    squares = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x)
+    return back.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(squares), 4).alias("squares"))
+
+
+@query(
+    "variant_oversampled",
+    """WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), e AS (SELECT max(n) AS hi, max(n) // min(n) + 1 AS t FROM c)
+       SELECT label::double AS label, (n + t * ((hi - n + t - 1) // t))::bigint AS n, 1::bigint AS versions FROM c, e""",
+)
+def variant_oversampled(spark, sf_dir):
+    """Classes of a variant that was published twice: the second version is read, the first is gone."""
+    rows = _vectors(spark, sf_dir)
+    root = scratch_path(spark, "variants")
+    variants.publish(rows, 64, root, "embeddings", "oversampling")
+    variants.publish(oversample(rows, "label", "vec_id", SEED), 64, root, "embeddings", "oversampling")
+    back = variants.read_variant(spark, root, "embeddings", "oversampling")
+    versions = F.lit(len(variants.versions(spark, root, "embeddings", "oversampling"))).cast("bigint")
+    return back.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", "n", versions.alias("versions"))
+
+
+# ---- missing values ----------------------------------------------------------
+
+_SENTINELS = {"l_quantity": [50.0], "l_discount": [0.0], "l_linenumber": [1]}
+_POLICIES = {"l_quantity": "mean", "l_discount": "median", "l_linenumber": "mode"}
+_IMPUTE_SQL = f"""t AS (SELECT CASE WHEN l_quantity <> 50 THEN l_quantity END AS q, CASE WHEN l_discount <> 0 THEN l_discount END AS d,
+        CASE WHEN l_linenumber <> 1 THEN l_linenumber END AS n, {h60(LINE_KEY_SQL)} < {below_sql(0.8)} AS train FROM lineitem),
+    f AS (SELECT avg(q) AS q, quantile_disc(d, 0.5) AS d, (SELECT n FROM t WHERE train AND n IS NOT NULL GROUP BY n ORDER BY count(*) DESC, n::varchar LIMIT 1) AS n,
+        count(q) AS qp, count(*) - count(q) AS qm, count(d) AS dp, count(*) - count(d) AS dm, count(n) AS np, count(*) - count(n) AS nm FROM t WHERE train)"""
+
+
+def _imputed(spark, sf_dir):
+    rows = with_side(table(spark, sf_dir, "lineitem", *LINE_KEY, "l_quantity", "l_discount"), LINE_KEY, SEED)
+    ensure_checkpoint_dir(spark)
+    rows = impute.without_sentinels(rows, _SENTINELS)
+    return rows, impute.fit_fillings(rows.where("side = 'train'"), _POLICIES)
+
+
+@query(
+    "impute_fit",
+    f"""WITH {_IMPUTE_SQL} SELECT unnest(['l_quantity', 'l_discount', 'l_linenumber']) AS "column", unnest(['mean', 'median', 'mode']) AS policy,
+        unnest([round(q, 6), round(d, 6), n::double]) AS value, unnest([qp, dp, np]) AS present, unnest([qm, dm, nm]) AS missing FROM f""",
+)
+def impute_fit(spark, sf_dir):
+    """Fillings of three columns whose sentinels stand for missing values, from the training side."""
+    _, found = _imputed(spark, sf_dir)
+    return found.table.select("column", "policy", F.round(F.col("value").cast("double"), 6).alias("value"), "present", "missing")
+
+
+@query(
+    "impute_apply",
+    f"""WITH {_IMPUTE_SQL} SELECT count(*) AS rows, round(sum(coalesce(t.q, f.q)), 2) AS quantity, round(sum(coalesce(t.d, f.d)), 2) AS discount,
+        sum(coalesce(t.n, f.n))::bigint AS lines, count(*) - count(t.q) AS filled FROM t, f WHERE NOT train""",
+)
+def impute_apply(spark, sf_dir):
+    """The other side filled with what the training side gave."""
+    rows, found = _imputed(spark, sf_dir)
+    done = found.transform(rows.where("side = 'test'"), flag="_filled")
+    return done.agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum("l_discount"), 2).alias("discount"),
+        F.sum("l_linenumber").cast("bigint").alias("lines"), F.sum("l_quantity_filled").cast("bigint").alias("filled"),
+    )

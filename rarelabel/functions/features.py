@@ -43,7 +43,7 @@ class Features:
             source = vector_to_array(source)
         return df.withColumn(out, source), [F.col(out)[i].cast("double") for i in range(self.width)]
 
-    def long(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    def long(self, df: DataFrame, keep: Sequence[str | Column]) -> DataFrame:
         """Long form ``(keep..., pos, value)``: one narrow row per position."""
         if self.vector is not None:
             source = F.col(self.vector)

@@ -2,76 +2,76 @@
 
 Every distinct value of a feature is a category, so the statistic of columns
 with very many values grows with their number of values.  ``value_share`` in the report
-shows such columns; leave row ids out with ``exclude``.
+shows such columns, and ``warn_of_identifiers`` names them; leave row ids out with ``exclude``.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.features import Features
 from ..functions.probability import chi_square_p_value
-from .counts import class_counts
+from ..functions.ranking import ensure_checkpoint_dir
+from .counts import class_histogram
 
-WIDE_CLASSES = 64
+BROADCAST_CLASSES = 100_000
+IDENTIFIER_SHARE = 0.5
 
 
 def chi_square_scores(df: DataFrame, features: Features, label: str = "label") -> DataFrame:
     """``(pos, name, statistic, degrees, value_share)``, one row per feature.
 
-    One shuffle, keyed by (position, value).  Tasks count before they send, so
-    a value shared by most rows travels once per task.
+    Tasks count by (position, value, class) before they send, so a value shared by
+    most rows travels once per task and class.  The statistic is the sum of
+    (observed - expected)^2 / expected over cells that hold rows, plus the rows
+    expected in all empty cells, whose total is known from the classes that a value
+    lacks.  That is exact for any number of classes; class sizes are sent to the
+    counts up to ``BROADCAST_CLASSES`` classes and joined by shuffle beyond.  A null
+    label is an error.
     """
-    counts = class_counts(df, label)
-    rows = float(sum(counts.values()))
-    long = features.long(df, [label])
-    if len(counts) <= WIDE_CLASSES:
-        cells = long.groupBy("pos", "value").agg(
-            *[F.count_if(F.col(label) == F.lit(c)).alias(f"_o{i}") for i, c in enumerate(counts)]
-        )
-        observed = [F.col(f"_o{i}") for i in range(len(counts))]
-        row_total = sum(observed[1:], observed[0])
-        term = F.lit(0.0)
-        for o, c in zip(observed, counts.values()):
-            expected = row_total * F.lit(c / rows)
-            term = term + (o - expected) * (o - expected) / expected
-        cells = cells.select("pos", term.alias("_term"))
-    else:
-        schema = T.StructType(
-            [T.StructField(label, df.schema[label].dataType), T.StructField("_share", T.DoubleType())]
-        )
-        shares = [(c, n / rows) for c, n in counts.items()]
-        cells = (
-            long.groupBy("pos", "value", label)
-            .agg(F.count(F.lit(1)).alias("_o"))
-            # one row per class: at most MAX_CLASSES rows, checked by class_counts
-            .join(F.broadcast(df.sparkSession.createDataFrame(shares, schema)), label)
-            .groupBy("pos", "value")
-            .agg(
-                F.sum("_o").alias("_r"),
-                F.sum(F.col("_o") * F.col("_o") / F.col("_share")).alias("_q"),
-            )
-            .select("pos", (F.col("_q") / F.col("_r") - F.col("_r")).alias("_term"))
-        )
+    ensure_checkpoint_dir(df.sparkSession)
+    sizes = class_histogram(df, label).select(F.col(label).alias("_c"), F.col("n").alias("_size")).checkpoint()
+    rows, classes, unlabelled = sizes.agg(F.sum("_size"), F.count(F.lit(1)), F.sum(F.when(F.col("_c").isNull(), F.col("_size")))).first()
+    if unlabelled:
+        raise ValueError(f"column {label} has {unlabelled} null labels; drop or fill them first")
+    rows = float(rows or 0)
+    shares = sizes.select("_c", (F.col("_size") / F.lit(rows)).alias("_share"))
+    shares = F.broadcast(shares) if classes <= BROADCAST_CLASSES else shares
+    counted = features.long(df, [F.col(label).alias("_label")]).groupBy("pos", "value", "_label").agg(F.count(F.lit(1)).alias("_o"))
+    cells = counted.join(shares, F.col("_label") == F.col("_c"))
+    # the cells of one value: as many as there are classes at most
+    held = cells.groupBy("pos", "value").agg(F.sum("_o").alias("_r"), F.sum("_share").alias("_held"), F.collect_list(F.struct("_o", "_share")).alias("_cells"))
+    off = lambda c: c["_o"] - F.col("_r") * c["_share"]
+    term = F.aggregate("_cells", F.lit(0.0), lambda t, c: t + off(c) * off(c) / (F.col("_r") * c["_share"]))
+    empty = F.col("_r") * F.greatest(F.lit(0.0), 1.0 - F.col("_held"))
     names = F.array(*[F.lit(n) for n in features.names])
     return (
-        cells.groupBy("pos")
+        held.select("pos", (term + empty).alias("_term"))
+        .groupBy("pos")
         .agg(F.sum("_term").alias("statistic"), F.count(F.lit(1)).alias("_values"))
         .select(
             "pos",
             names[F.col("pos")].alias("name"),
             "statistic",
-            ((F.col("_values") - 1) * (len(counts) - 1)).alias("degrees"),
+            ((F.col("_values") - 1) * (classes - 1)).alias("degrees"),
             (F.col("_values") / rows).alias("value_share"),
         )
     )
 
 
+def warn_of_identifiers(scores: DataFrame, share: float = IDENTIFIER_SHARE) -> list[str]:
+    """Names of features with almost as many values as rows, with a warning: they win by their number of values alone."""
+    named = [r["name"] for r in scores.where(F.col("value_share") >= share).orderBy("pos").select("name").collect()]
+    if named:
+        warnings.warn(f"features with a value for every {1 / share:g} rows or fewer: {', '.join(named)}; leave out identifiers", stacklevel=2)
+    return named
+
+
 def with_p_value(scores: DataFrame) -> DataFrame:
     return scores.withColumn("p_value", chi_square_p_value("statistic", "degrees"))
 

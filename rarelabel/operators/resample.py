@@ -32,9 +32,7 @@ def oversample_plan(df: DataFrame, label: str = "label", mode: str = "rounds") -
     a class gets T * ceil((M - n) / T) draws, so it may pass M by up to T - 1.
     ``exact``: M - n draws.
     """
-    sizes = class_histogram(df, label).select(
-        label, "n", F.max("n").over(_all()).alias("_hi"), F.min("n").over(_all()).alias("_lo")
-    )
+    sizes = _with_extremes(class_histogram(df, label))
     gap = F.col("_hi") - F.col("n")
     if mode == "exact":
         draws = gap
@@ -54,7 +52,7 @@ def undersample_plan(
     ``target``: None for the smallest class, a float for a share of it, an int
     for a fixed number of rows.
     """
-    sizes = class_histogram(df, label).withColumn("_lo", F.min("n").over(_all()))
+    sizes = _with_extremes(class_histogram(df, label))
     if target is None:
         draws: Column = F.col("_lo")
     elif isinstance(target, float):
@@ -64,9 +62,11 @@ def undersample_plan(
     return sizes.select(label, "n", draws.cast("bigint").alias("draws"))
 
 
-def _all():
-    # one row per class, whatever the size of the table
-    return Window.partitionBy(F.lit(0))
+def _with_extremes(histogram: DataFrame) -> DataFrame:
+    """Add ``_hi`` and ``_lo``, the largest and the smallest class."""
+    ends = histogram.agg(F.max("n").alias("_hi"), F.min("n").alias("_lo"))
+    # one row
+    return histogram.join(F.broadcast(ends))
 
 
 def _plan_rows(plan: DataFrame, label: str) -> list[dict[str, Any]]:

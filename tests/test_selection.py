@@ -34,9 +34,9 @@ def test_scores_match_the_library(table):
         assert np.allclose(np.array(got), np.array(want), rtol=1e-9, atol=1e-9)
 
 
-def test_many_classes_take_the_other_plan(table, monkeypatch):
+def test_classes_joined_by_shuffle_give_the_same(table, monkeypatch):
     before = rows(chisq.chi_square_scores(table, FEATURES), "pos", "statistic", "degrees")
-    monkeypatch.setattr(chisq, "WIDE_CLASSES", 1)
+    monkeypatch.setattr(chisq, "BROADCAST_CLASSES", 0)
     after = rows(chisq.chi_square_scores(table, FEATURES), "pos", "statistic", "degrees")
     assert np.allclose(np.array(before), np.array(after), rtol=1e-9, atol=1e-8)
 
@@ -94,3 +94,47 @@ def test_covariance_and_projection(spark):
         got = np.array([r.features.toArray() for r in pca.pca_project(vectors, model, center=center).orderBy("id").collect()])
         assert np.allclose(np.abs(got), np.abs(data @ axes), atol=1e-8)
     assert pca.component_table(vectors, model).count() == 8
+
+
+def test_chi_square_of_very_many_classes(spark):
+    """Fifty thousand classes, most cells empty, against the sums written out."""
+    df = spark.range(120_000).select((F.col("id") % 50_000).alias("label"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 50_000 % 2).cast("double").alias("b"))
+    found = {r.name: r for r in chisq.chi_square_scores(df, Features.columns(["a", "b"])).collect()}
+    i = np.arange(120_000)
+    for name, value in (("a", i % 7), ("b", i % 50_000 % 2)):
+        seen = np.zeros((value.max() + 1, 50_000))
+        np.add.at(seen, (value, i % 50_000), 1)
+        fit = np.outer(seen.sum(axis=1), seen.sum(axis=0)) / len(i)
+        assert found[name].statistic == pytest.approx(((seen - fit) ** 2 / fit).sum(), rel=1e-9)
+        assert found[name].degrees == value.max() * 49_999
+
+
+def test_identifiers_are_warned_of(spark):
+    df = spark.range(100).select((F.col("id") % 2).alias("label"), F.col("id").cast("double").alias("key"), (F.col("id") % 3).cast("double").alias("a"))
+    with pytest.warns(UserWarning, match="key"):
+        assert chisq.warn_of_identifiers(chisq.chi_square_scores(df, Features.columns(["key", "a"]))) == ["key"]
+
+
+def test_covariance_is_the_same_in_any_blocks(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    i = F.col("id")
+    df = spark.range(300).repartition(3).select(array_to_vector(F.array(*[(F.pmod(F.xxhash64(i, F.lit(k)), F.lit(1000)) + 1e7 * k).cast("double") for k in range(7)], F.lit(2.0))).alias("features"))
+    x = np.array([r.features.toArray() for r in df.collect()])
+    want = np.cov(x.T)
+    for block in (1, 3, 128):
+        found = pca.covariance(df, block=block).collect()
+        assert len(found) == 36
+        assert all(r["cov"] == pytest.approx(want[r.i, r.j], rel=1e-9, abs=1e-6) for r in found)
+    assert pca.covariance(df.where("false")).collect() == []
+    assert {r["cov"] for r in pca.covariance(df.limit(1)).collect()} == {None}
+
+
+def test_components_solve_the_covariance(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    i = F.col("id")
+    df = spark.range(200).select(array_to_vector(F.array(*[F.pmod(F.xxhash64(i, F.lit(k)), F.lit(50 * (k + 1))).cast("double") for k in range(5)])).alias("features"))
+    found = pca.spectrum(df, pca.fit_pca(df, 5)).orderBy("component").collect()
+    assert [r.eigenvalue for r in found] == sorted((r.eigenvalue for r in found), reverse=True)
+    assert max(r.residual for r in found) < 1e-6 and all(abs(r.length - 1) < 1e-9 for r in found)
