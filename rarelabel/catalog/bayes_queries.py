@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions.features import Features
+from ..functions.ranking import ensure_checkpoint_dir
 from ..operators import naive_bayes as nb
+from ..operators import sparse_bayes
 from ..operators.confusion import class_totals, confusion, overall_metrics
 from ..operators.counts import class_counts
 from ..operators.curves import binary_areas
+from ..operators.split import with_side
 from ..plans.holdout import naive_bayes_folds, naive_bayes_rounds
-from ..plans.tuning import best_params
+from ..plans import learners
+from ..plans.tuning import best_params, ranked_candidates
 from ..sources.tables import spread
 from .base import LINE_KEY, LINE_KEY_SQL, SEED, below_sql, h60, query, r6, table
 
@@ -178,3 +183,104 @@ def best_params_query(spark, sf_dir):
     named = F.concat(F.lit("smoothing="), F.col("smoothing").cast("string")).alias("params")
     results = _fold_accuracy(spark, sf_dir).select(named, "fold", F.col("accuracy").alias("metric"))
     return best_params(results).select("params", r6("avg_metric", "avg_metric"))
+
+
+_SHARE = f"""round(exp({_dot('c')} - greatest({_dot('a')}, {_dot('b')}, {_dot('c')})) / (
+                     exp({_dot('a')} - greatest({_dot('a')}, {_dot('b')}, {_dot('c')}))
+                     + exp({_dot('b')} - greatest({_dot('a')}, {_dot('b')}, {_dot('c')}))
+                     + exp({_dot('c')} - greatest({_dot('a')}, {_dot('b')}, {_dot('c')}))), 9)"""
+_FOLD_AREAS = f"""{_FOLDED}, z2 AS (SELECT smoothing, fold, label = 'R' AS hit, {_SHARE} AS score FROM x JOIN w USING (fold)),
+    {_AREA.format(by='smoothing, fold').replace('FROM z ', 'FROM z2 ')}"""
+
+
+def _fold_areas(spark, sf_dir):
+    scored = naive_bayes_folds(
+        _rows(spark, sf_dir), FEATURES, "l_returnflag", LINE_KEY, FOLDS, SEED, LAMBDAS, probability_of="R"
+    ).withColumn("probability", F.round("probability", 9))
+    return binary_areas(scored, "probability", "label", "R", ["smoothing", "fold"])
+
+
+@query("nb_cv_areas", f"WITH {_FOLD_AREAS} SELECT smoothing, fold, round(roc_auc, 6) AS roc_auc FROM areas")
+def nb_cv_areas(spark, sf_dir):
+    """Cross-validation judged by the area under the ROC curve, fold by fold."""
+    return _fold_areas(spark, sf_dir).select("smoothing", "fold", r6("roc_auc", "roc_auc"))
+
+
+@query(
+    "nb_best_by_area",
+    f"""WITH {_FOLD_AREAS} SELECT 'smoothing=' || smoothing AS params, count(*) AS folds, round(avg(roc_auc), 6) AS avg_metric,
+        (row_number() OVER (ORDER BY round(avg(roc_auc), 12) DESC, 'smoothing=' || smoothing))::int AS rank FROM areas GROUP BY smoothing""",
+)
+def nb_best_by_area(spark, sf_dir):
+    """All candidates in order of their mean area."""
+    named = F.concat(F.lit("smoothing="), F.col("smoothing").cast("string")).alias("params")
+    results = _fold_areas(spark, sf_dir).select(named, "fold", F.col("roc_auc").alias("metric"))
+    return ranked_candidates(results).select("params", "folds", r6("avg_metric", "avg_metric"), "rank")
+
+
+_PARAMETERS_SQL = "VALUES ('featuresCol', 'features'), ('labelCol', 'label'), ('modelType', 'multinomial'), ('predictionCol', 'prediction'), ('probabilityCol', 'probability'), ('rawPredictionCol', 'rawPrediction')"
+
+
+@query(
+    "model_parameters",
+    f"""WITH {_FOLDED}, best AS (SELECT smoothing FROM acc GROUP BY smoothing ORDER BY round(avg(accuracy), 12) DESC, 'smoothing=' || smoothing LIMIT 1)
+        SELECT 0 AS stage, * FROM ({_PARAMETERS_SQL}) v(param, value) UNION ALL SELECT 0, 'smoothing', smoothing::varchar FROM best""",
+)
+def model_parameters(spark, sf_dir):
+    """Settings of the model that cross-validation chose, fitted on all rows."""
+    named = F.concat(F.lit("smoothing="), F.col("smoothing").cast("string")).alias("params")
+    ranked = ranked_candidates(_fold_accuracy(spark, sf_dir).select(named, "fold", F.col("accuracy").alias("metric")))
+    chosen = float(ranked.where("rank = 1").first()["params"].removeprefix("smoothing="))
+    rows = _rows(spark, sf_dir).select(array_to_vector(F.array(*NAMES)).alias("features"), F.col("late").alias("label"))
+    return learners.parameter_table(spark, learners.naive_bayes(chosen).fit(rows))
+
+
+# ---- wide, sparse features: words of documents in 100,000 positions -----------
+
+WORD_WIDTH = 100_000
+_WORDS_SQL = f"""d AS (SELECT doc_id, lang, {h60('doc_id')} < {below_sql(0.8)} AS train,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+') AS words FROM documents),
+    e AS (SELECT doc_id, lang, train, ('0x' || substr(md5(word), 1, 15))::bigint % {WORD_WIDTH} AS pos, count(*)::double AS value FROM (SELECT *, unnest(words) AS word FROM d) GROUP BY ALL),
+    s AS (SELECT lang AS label, pos, sum(value) AS s FROM e WHERE train GROUP BY 1, 2),
+    m AS (SELECT label, sum(s) + {WORD_WIDTH} AS total FROM s GROUP BY 1),
+    c AS (SELECT lang AS label, count(*) AS n FROM d WHERE train GROUP BY 1),
+    k AS (SELECT label, ln(n + 1) - ln(sum(n) OVER () + count(*) OVER ()) AS pi, -ln(coalesce(total, {WORD_WIDTH})) AS unseen FROM c LEFT JOIN m USING (label)),
+    t AS (SELECT label, pos, ln(s + 1) - ln(total) AS theta FROM s JOIN m USING (label))"""
+
+
+def _word_entries(spark, sf_dir):
+    documents = with_side(table(spark, sf_dir, "documents", "doc_id", "lang", "text"), "doc_id", SEED)
+    lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    each = F.explode_outer(F.regexp_extract_all(lowered, F.lit("[a-z]+"), F.lit(0))).alias("word")
+    place = F.conv(F.substring(F.md5("word"), 1, 15), 16, 10).cast("bigint") % WORD_WIDTH
+    counted = documents.select("doc_id", "lang", "side", each).groupBy("doc_id", "lang", "side", place.cast("int").alias("pos")).agg(F.count("word").cast("double").alias("value"))
+    held = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "value")))
+    return counted.groupBy("doc_id", "lang", "side").agg(held.alias("words"))
+
+
+def _word_model(spark, sf_dir):
+    rows = _word_entries(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    rows = rows.checkpoint()
+    return rows, sparse_bayes.fit(rows.where("side = 'train'"), "words", WORD_WIDTH, "lang")
+
+
+@query("nb_sparse_fit", f"WITH {_WORDS_SQL} SELECT label, pos::int AS pos, round(theta, 6) AS theta FROM t")
+def nb_sparse_fit(spark, sf_dir):
+    """Weights of the words of each language in 100,000 positions."""
+    return _word_model(spark, sf_dir)[1].weights.select("label", "pos", r6("theta", "theta"))
+
+
+@query(
+    "nb_sparse_score",
+    f"""WITH {_WORDS_SQL}, z AS (SELECT doc_id, k.label, any_value(d.lang) AS lang, any_value(pi) + coalesce(sum(value * coalesce(theta, unseen)), 0) AS score
+             FROM d JOIN k ON true LEFT JOIN e USING (doc_id) LEFT JOIN t ON t.label = k.label AND t.pos = e.pos WHERE NOT d.train GROUP BY 1, 2),
+        b AS (SELECT doc_id, any_value(lang) AS lang, min_by(label, (-round(score, 9), label)) AS prediction FROM z GROUP BY 1)
+        SELECT lang AS label, prediction, count(*) AS n FROM b GROUP BY 1, 2""",
+)
+def nb_sparse_score(spark, sf_dir):
+    """Languages of held-out documents by their words."""
+    rows, model = _word_model(spark, sf_dir)
+    test = rows.where("side = 'test'")
+    guessed = sparse_bayes.predict(sparse_bayes.scores(test, model, "words", ["doc_id", "lang"]), ["doc_id", "lang"])
+    return confusion(guessed.select(F.col("lang").alias("label"), "prediction"))

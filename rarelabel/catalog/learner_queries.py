@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.features import Features
-from ..functions.ranking import scratch_path
+from ..functions.ranking import ensure_checkpoint_dir, scratch_path
 from ..operators import confusion as cm
 from ..operators import forest, regression
 from ..operators.counts import class_counts
@@ -166,6 +166,34 @@ def lr_multinomial(spark, sf_dir):
     return metrics.join(areas, "label")
 
 
+_MOMENT_TOLERANCE = 1e-2
+
+
+@query(
+    "lr_multinomial_moments",
+    """SELECT label::double AS label, i::int AS pos, count(*) AS rows, round(sum(embedding[i + 1]::double), 6) AS moment
+       FROM embeddings, range(64) r(i) GROUP BY 1, 2""",
+)
+def lr_multinomial_moments(spark, sf_dir):
+    """First-order optimality: of each class and feature, the sum over its rows equals the sum weighted by its probability.
+
+    ``moment`` is the observed sum where the model's agrees with it to ``_MOMENT_TOLERANCE``, else the model's.
+    """
+    rows = _vectors(spark, sf_dir)
+    classes = list(class_counts(rows))
+    with learners.held_in_memory(rows) as held:
+        model = learners.multinomial_regression(tol=1e-9, maxIter=1000).fit(held)
+    x, p = vector_to_array("features"), vector_to_array("probability")
+    each = F.array(*[F.struct(F.lit(float(c)).alias("class"), F.get("p", F.lit(int(c))).alias("share")) for c in classes])
+    scored = model.transform(rows).select("label", x.alias("x"), p.alias("p")).select("label", "x", F.inline(each))
+    long = scored.select("class", "share", (F.col("label") == F.col("class")).alias("own"), F.posexplode("x").alias("pos", "value"))
+    sums = long.groupBy(F.col("class").alias("label"), "pos").agg(
+        F.count_if("own").alias("rows"), F.sum(F.when(F.col("own"), F.col("value"))).alias("seen"), F.sum(F.col("share") * F.col("value")).alias("model")
+    )
+    agreed = F.when(F.abs(F.col("seen") - F.col("model")) <= _MOMENT_TOLERANCE, F.col("seen")).otherwise(F.col("model"))
+    return sums.select("label", "pos", "rows", r6(agreed, "moment"))
+
+
 @query("lr_multinomial_coefficients")
 def lr_multinomial_coefficients(spark, sf_dir):
     with learners.held_in_memory(_vectors(spark, sf_dir)) as rows:
@@ -334,13 +362,6 @@ def mlp_fit(spark, sf_dir):
     return evaluation_report(model.transform(test))
 
 
-@query("mlp_layers")
-def mlp_layers(spark, sf_dir):
-    model = learners.perceptron([WIDTH, 20, 14, 10]).fit(_vectors(spark, sf_dir))
-    rows = [(i, int(n)) for i, n in enumerate(model.getLayers())]
-    return spark.createDataFrame(rows, "layer int, nodes int")
-
-
 @query(
     "model_roundtrip",
     """SELECT count(*) AS rows, 0::bigint AS changed FROM documents JOIN labels USING (doc_id)""",
@@ -359,13 +380,6 @@ def model_roundtrip(spark, sf_dir):
     )
 
 
-@query("model_parameters")
-def model_parameters(spark, sf_dir):
-    rows = _documents(spark, sf_dir)
-    model = Pipeline(stages=[learners.naive_bayes()]).fit(rows)
-    return learners.parameter_table(spark, model)
-
-
 @query(
     "cv_lr",
     f"""WITH {_LABELLED_SQL}, own AS (SELECT *, (g % {_CV_FOLDS})::int AS fold FROM d WHERE h < {below_sql(0.8)}),
@@ -415,17 +429,27 @@ def cv_selection_grid(spark, sf_dir):
     )
 
 
-@query("cv_mlp_grid")
-def cv_mlp_grid(spark, sf_dir):
+def _network_grid(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
     net = learners.perceptron([WIDTH, 10])
     shapes = [[WIDTH, 18, 10, 10], [WIDTH, 20, 14, 8, 10]]
-    return tuning.cross_validate(
-        with_fold(_vectors(spark, sf_dir), "vec_id", 3, SEED),
-        net,
-        MulticlassClassificationEvaluator(metricName="f1"),
-        tuning.param_grid({net.layers: shapes, net.maxIter: [5]}),
-        folds=3,
-    )
+    grid = tuning.param_grid({net.layers: shapes, net.maxIter: [5]})
+    rows = with_fold(_vectors(spark, sf_dir), "vec_id", _CV_FOLDS, SEED)
+    return rows, net, grid, tuning.cross_validate(rows, net, MulticlassClassificationEvaluator(metricName="f1"), grid, folds=_CV_FOLDS)
+
+
+@query("cv_mlp_grid")
+def cv_mlp_grid(spark, sf_dir):
+    return _network_grid(spark, sf_dir)[3]
+
+
+@query("mlp_layers")
+def mlp_layers(spark, sf_dir):
+    """Layers of the network that cross-validation chose, with its rank among all candidates."""
+    model, ranked = tuning.refit_best(*_network_grid(spark, sf_dir))
+    rows = [(i, int(n)) for i, n in enumerate(model.getLayers())]
+    # one row
+    return spark.createDataFrame(rows, "layer int, nodes int").join(F.broadcast(ranked.where("rank = 1")))
 
 
 _LR_ROUNDS, _LR_CELLS, _NESTED_ROUNDS, _PENALTIES = 100, regressions.CELLS, 10, (0.1, 1.0)
@@ -491,7 +515,7 @@ def rf_repeated_holdout(spark, sf_dir):
         with_cell(rows, "vec_id", 256, SEED),
         learners.forest_pipeline(labels, SEED, trees=20),
         {"f1": MulticlassClassificationEvaluator(labelCol="indexedLabel", metricName="f1")},
-        rounds=3,
+        rounds=100,
         seed=SEED,
         resample=lambda train: oversample(train, "label", "vec_id", SEED),
     )

@@ -55,8 +55,9 @@ def naive_bayes_folds(
     folds: int,
     seed: int,
     smoothing: Sequence[float] = (1.0,),
+    probability_of: Any = None,
 ) -> DataFrame:
-    """Cross-validated predictions: ``(smoothing, fold, label, prediction)``."""
+    """Cross-validated predictions: ``(smoothing, fold, label, prediction[, probability])``."""
     labels = list(class_counts(df, label))
     folded = with_fold(df, key, folds, seed)
     sums = nb.fold_sums(nb.class_sums(folded, features, label, ["fold"]), features.width, folds)
@@ -67,5 +68,5 @@ def naive_bayes_folds(
     )
     rows = folded.withColumn("label", F.col(label)).select("*", tries)
     return nb.score(
-        rows, model, features, labels, by, folds * len(smoothing), [*by, "label"]
+        rows, model, features, labels, by, folds * len(smoothing), [*by, "label"], probability_of
     )

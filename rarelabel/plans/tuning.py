@@ -15,7 +15,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.split import cell_is_test
@@ -137,6 +137,24 @@ def summarize(results: DataFrame, by: Sequence[str], value: str = "value") -> Da
     )
 
 
+def ranked_candidates(results: DataFrame, params: str = "params", metric: str = "metric", larger_is_better: bool = True) -> DataFrame:
+    """``(params, folds, avg_metric, rank)`` of all candidates, from 1; ties as in ``best_params``.
+
+    A candidate without any metric comes last.  There is one row per candidate.
+    """
+    means = results.groupBy(F.col(params).alias("params")).agg(F.count(metric).alias("folds"), F.avg(metric).alias("avg_metric"))
+    rounded = F.round("avg_metric", 12)
+    order = rounded.desc_nulls_last() if larger_is_better else rounded.asc_nulls_last()
+    return means.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, "params")))
+
+
+def refit_best(df: DataFrame, estimator: Estimator, grid: Sequence[Mapping[Any, Any]], results: DataFrame) -> tuple[Any, DataFrame]:
+    """The winning candidate fitted on all rows of ``df``, and the ranks it won by."""
+    ranked = ranked_candidates(results).checkpoint()
+    winner = ranked.where("rank = 1").first()["params"]
+    return estimator.fit(df, dict(next(g for g in grid if describe(g) == winner))), ranked
+
+
 def best_params(
     results: DataFrame, params: str = "params", metric: str = "metric", larger_is_better: bool = True
 ) -> DataFrame:
