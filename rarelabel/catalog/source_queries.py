@@ -29,7 +29,7 @@ def _orders(spark, sf_dir):
 )
 def text_scan(spark, sf_dir):
     path = scratch_path(spark, "orders-text")
-    text.write_table(_orders(spark, sf_dir), path)
+    text.write_table(_orders(spark, sf_dir), path, blanks="underscore")
     return text.read_table(spark, path, ORDERS)
 
 
@@ -63,7 +63,7 @@ def text_rejects(spark, sf_dir):
 def text_missing_dropped(spark, sf_dir):
     price = F.when(F.col("o_orderkey") % 5 == 0, "-9").otherwise(F.col("o_totalprice").cast("string"))
     path = scratch_path(spark, "missing-text")
-    text.write_table(_orders(spark, sf_dir).withColumn("o_totalprice", price), path)
+    text.write_table(_orders(spark, sf_dir).withColumn("o_totalprice", price), path, blanks="underscore")
     kept = text.read_table(spark, path, ORDERS, missing=["-9"], require=["o_totalprice"])
     return kept.groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")
@@ -84,7 +84,7 @@ _PART_INDEX = """
 )
 def import_table(spark, sf_dir):
     source = scratch_path(spark, "part-text")
-    text.write_table(table(spark, sf_dir, "part", *PARTS.names), source)
+    text.write_table(table(spark, sf_dir, "part", *PARTS.names), source, blanks="underscore")
     return import_text(spark, source, PARTS, scratch_path(spark, "part-table")).table
 
 
@@ -96,7 +96,7 @@ def import_table(spark, sf_dir):
 )
 def import_histogram(spark, sf_dir):
     source = scratch_path(spark, "part-text")
-    text.write_table(table(spark, sf_dir, "part", *PARTS.names), source)
+    text.write_table(table(spark, sf_dir, "part", *PARTS.names), source, blanks="underscore")
     return import_text(spark, source, PARTS, scratch_path(spark, "part-table")).histogram
 
 

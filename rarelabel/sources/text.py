@@ -100,18 +100,24 @@ def rejected_rows(
     )
 
 
-def write_table(df: DataFrame, path: str, missing: str = "NA", empty: str = "''") -> None:
-    """Write every column as text, blanks inside values replaced by ``_``.
+def write_table(df: DataFrame, path: str, missing: str = "NA", empty: str = "''", blanks: str = "error") -> None:
+    """Write every column as text, one line per row.
 
     A null is written as ``missing`` and an empty string as ``empty``, so that
     each line has all its fields; a value that equals either token is an error.
+    So is a blank inside a value, which would be read back as two fields;
+    ``blanks="underscore"`` writes ``_`` instead, where values may merge.
     """
+    if blanks not in ("error", "underscore"):
+        raise ValueError(f"blanks is {blanks!r}, neither 'error' nor 'underscore'")
     error = F.raise_error(F.lit(f"a value equals the token {missing} or {empty}")).cast("string")
+    blank = F.raise_error(F.lit("a value holds a blank")).cast("string")
 
     def cell(name: str) -> Column:
         text = _quoted(name).cast("string")
+        whole = F.regexp_replace(text, r"\s", "_") if blanks == "underscore" else F.when(text.rlike(r"\s"), blank).otherwise(text)
         shown = F.when(text.isin(missing, empty), error).when(text == "", empty)
-        return F.when(text.isNull(), missing).otherwise(shown.otherwise(F.regexp_replace(text, r"\s", "_")))
+        return F.when(text.isNull(), missing).otherwise(shown.otherwise(whole))
 
     cells = [cell(n) for n in df.columns]
     df.select(F.concat_ws(" ", *cells).alias("value")).write.mode("overwrite").text(path)

@@ -74,7 +74,7 @@ SCHEMA = TableSchema.parse("t", "b:s a")
 
 def test_written_text_keeps_nulls_and_empty_strings(spark, tmp_path):
     rows = [("x", 1.0), (None, 2.0), ("", None), ("y z", 4.0)]
-    write_table(spark.createDataFrame(rows, "b string, a double"), str(tmp_path / "t"))
+    write_table(spark.createDataFrame(rows, "b string, a double"), str(tmp_path / "t"), blanks="underscore")
     lines = sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect())
     assert lines == sorted(["x 1.0", "NA 2.0", "'' NA", "y_z 4.0"])
     back = read_table(spark, str(tmp_path / "t"), SCHEMA, missing=["NA"], empty="''")
@@ -83,6 +83,16 @@ def test_written_text_keeps_nulls_and_empty_strings(spark, tmp_path):
         write_table(spark.createDataFrame([("NA",)], "b string"), str(tmp_path / "u"))
 
 
+def test_values_with_blanks_are_an_error_unless_they_may_merge(spark, tmp_path):
+    df = spark.createDataFrame([("a b",), ("a_b",)], "b string")
+    with pytest.raises(Exception, match="holds a blank"):
+        write_table(df, str(tmp_path / "t"))
+    write_table(df, str(tmp_path / "t"), blanks="underscore")
+    assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["a_b", "a_b"]
+    with pytest.raises(ValueError, match="blanks"):
+        write_table(df, str(tmp_path / "t"), blanks="merge")
+
+
 def test_lines_that_do_not_fit(spark, tmp_path):
     schema = TableSchema.parse("t", "a kind:s label")
     (tmp_path / "in").mkdir()

@@ -67,7 +67,7 @@ def test_missing_tokens_and_required_columns(spark, tmp_path):
 
 def test_written_text_reads_back(spark, tmp_path):
     df = spark.createDataFrame([(1.0, "a b", "true", 0.0)], "a double, kind string, flag string, label double")
-    text.write_table(df, str(tmp_path / "t"))
+    text.write_table(df, str(tmp_path / "t"), blanks="underscore")
     assert rows(text.read_table(spark, str(tmp_path / "t"), SCHEMA)) == [(1.0, "a_b", "true", 0.0)]
 
 
