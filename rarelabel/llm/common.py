@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,16 +61,41 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+_ROW_BITS = 33  # rows of one file
+
+
+def _reads_files(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is one row of a file: a read table, maybe with columns and rows left out."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with its rows numbered, written once as a table, and the column's name.
+    """``docs`` with its rows numbered, the same in every pass, and the column's name.
 
-    How a table's files are split depends on the cores that are alive, so a
-    number that is computed again may be another; all passes read the written one.
+    How a table's files are split depends on the cores that are alive, so numbers
+    by partition are not the same twice.  A row of a Parquet table is numbered by
+    its file, in order of path, and its place in that file; nothing is written.
+    Any other table is numbered and written once, and all passes read the written one.
     """
     name = fresh(docs, "_row_number")
-    path = scratch_path(docs.sparkSession, "numbered")
-    docs.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
-    return docs.sparkSession.read.parquet(path), name
+    if _reads_files(docs):
+        path, place = fresh(docs, "_file"), fresh(docs, "_place")
+        about = docs.metadataColumn("_metadata")
+        try:
+            placed = docs.select("*", about["file_path"].alias(path), about["row_index"].alias(place))
+        except AnalysisException:  # files of a kind that does not number its rows
+            placed = None
+        if placed is not None:
+            paths = sorted(r[0] for r in placed.select(path).distinct().collect())
+            # one row for each file of the table, as the driver's listing has it
+            files = docs.sparkSession.createDataFrame([(p, k << _ROW_BITS) for k, p in enumerate(paths)], f"`{path}` string, `{name}` bigint")
+            return placed.join(F.broadcast(files), path).select(*docs.columns, (F.col(name) + F.col(place)).alias(name)), name
+    written = scratch_path(docs.sparkSession, "numbered")
+    docs.withColumn(name, F.monotonically_increasing_id()).write.parquet(written)
+    return docs.sparkSession.read.parquet(written), name
 
 
 def row_number(number: str | None) -> Column:
