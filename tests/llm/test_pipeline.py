@@ -6,8 +6,9 @@ import os
 import pytest
 
 import corpus_pipeline
+from awkward_tables import awkward
 from rarelabel.llm import mixing, toxicity
-from test_minhash import shingles
+from test_minhash import brute, shingles
 
 FOLDER = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
@@ -84,3 +85,42 @@ def test_packed_pieces(stages, spark):
         assert end <= 2048
     assert collections.Counter(r.doc_id for r in pieces if r.piece == 0) == collections.Counter(r.doc_id for r in stages[4].collect())
     assert corpus_pipeline.run(spark, FOLDER).count() == len(pieces)
+
+
+@pytest.fixture
+def labelled(spark, tmp_path):
+    """A folder with labels of which no text is toxic."""
+    spark.createDataFrame([(0, 1, 0), (3, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_awkward_rows_pass_all_stages(spark, docs, labelled):
+    """Nulls, empty and long texts, ties, repeated rows and ids, clashing column names: each stage by its own rule."""
+    rows = awkward(11)
+    table = docs(rows)
+    plain = lambda df: collections.Counter((r.doc_id, r.text, r.source) for r in df.collect())
+    kept = corpus_pipeline.drop_toxic(spark, table, labelled)
+    assert kept.columns == table.columns and plain(kept) == collections.Counter(rows)
+    single = corpus_pipeline.drop_copies(spark, table, labelled)
+    best = {}
+    for i, t, _ in rows:
+        key = (t or "").encode().lower()
+        best[key] = max(best.get(key, (False, 0)), (i is not None, i or 0))
+    assert collections.Counter(((r.text or "").encode().lower(), (r.doc_id is not None, r.doc_id or 0)) for r in single.collect()) == collections.Counter(best.items())
+    near = corpus_pipeline.drop_near_copies(spark, table, labelled)
+    found, n = brute(rows, 5)
+    assert near.count() == n and {r.doc_id for r in near.collect()} <= {c for _, _, c in found}
+    mixed = corpus_pipeline.mix_sources(spark, table, labelled)
+    assert mixed.columns == single.columns == near.columns == table.columns and set(plain(mixed)) <= set(rows)
+    pieces = corpus_pipeline.pack_sequences(spark, table, labelled).collect()
+    assert collections.Counter(r.doc_id for r in pieces if r.piece == 0) == collections.Counter(i for i, _, _ in rows)
+    ends = collections.defaultdict(int)
+    for r in pieces:
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= 2048
+
+
+def test_empty_tables_pass_all_stages(spark, docs, labelled):
+    table = docs([(1, "a", "a")]).where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table, labelled).count() == 0
