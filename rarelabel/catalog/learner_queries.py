@@ -515,7 +515,7 @@ def rf_repeated_holdout(spark, sf_dir):
         with_cell(rows, "vec_id", 256, SEED),
         learners.forest_pipeline(labels, SEED, trees=20),
         {"f1": MulticlassClassificationEvaluator(labelCol="indexedLabel", metricName="f1")},
-        rounds=100,
+        rounds=20,
         seed=SEED,
         resample=lambda train: oversample(train, "label", "vec_id", SEED),
     )
