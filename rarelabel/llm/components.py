@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+ROWS_PER_PARTITION = 100_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (its smallest node) of every node in links ``a, b``.
@@ -14,21 +16,27 @@ def components(links: DataFrame) -> DataFrame:
     Each turn points a node to its smallest neighbour, if that is smaller, and
     follows these pointers to their roots, twice as far with each jump.  Links are
     then contracted to what remains between different roots; the number of nodes
-    that still have links at least halves with each turn.  Loops and repeated links do no
+    that still have links at least halves with each turn, and the tables of a turn are
+    kept in as many partitions as its links need.  Loops and repeated links do no
     harm; no links give no rows.
     """
+    def kept(df: DataFrame, rows: int) -> DataFrame:
+        return stored(df.coalesce(max(1, -(-rows // ROWS_PER_PARTITION))))
+
     pairs = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = stored(pairs.where("a <> b").distinct())
+    size = every = edges.count()
     labels = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    while not edges.isEmpty():
+    while size:
         point = edges.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("y"))
-        point = stored(point.select("x", F.least("x", "y").alias("y"), F.lit(True).alias("moved")))
+        point = kept(point.select("x", F.least("x", "y").alias("y"), F.lit(True).alias("moved")), size)
         while not point.where("moved").isEmpty():
             jump = point.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            point = stored(point.join(jump, "y").select("x", F.col("z").alias("y"), (F.col("z") != F.col("y")).alias("moved")))
-        labels = stored(labels.join(point, F.col("component") == F.col("x"), "left").select("node", F.coalesce("y", "component").alias("component")))
+            point = kept(point.join(jump, "y").select("x", F.col("z").alias("y"), (F.col("z") != F.col("y")).alias("moved")), size)
+        labels = kept(labels.join(point, F.col("component") == F.col("x"), "left").select("node", F.coalesce("y", "component").alias("component")), every)
         left = point.select(F.col("x").alias("a"), F.col("y").alias("_a"))
         right = point.select(F.col("x").alias("b"), F.col("y").alias("_b"))
         moved = edges.join(left, "a").join(right, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-        edges = stored(moved.where("a <> b").distinct())
+        edges = kept(moved.where("a <> b").distinct(), size)
+        size = edges.count()
     return labels
