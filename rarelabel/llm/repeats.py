@@ -12,8 +12,9 @@ with no others is dealt by a hash of its place, so a text that says one thing
 over and over does not fill one block.  Other rows are dealt by seed, so each
 shuffle partition is an index block that holds every window that could equal one
 of its own.  Seeds that occur once are dropped
-there.  A seed that holds many rows is not kept in one task: its windows are
-grouped by their own hash, with partial sums, and joined back in salted parts.
+there.  Where anchors are kept (lines), a seed that holds many rows is not kept in
+one task: its windows are grouped by their own hash, with partial sums, and joined
+back in salted parts.  For words a seed's rows meet in one task, sorted.
 """
 
 from __future__ import annotations
@@ -230,7 +231,8 @@ def without_repeats(docs: DataFrame, unit: str, window: int, gram: int, id_col:
     ``spans`` are maximal runs of removed units, (start, length) from 0.  Repeats
     are judged on the input.  Equal ids are ordered by a 64-bit hash of their text, and
     rows with equal id and text count as one document.  Null ids come first; null
-    texts have no units and stay null-free (empty).  ``keep_anchors`` stores the
+    texts have no units and stay null-free (empty), and an empty table gives no rows.
+    ``keep_anchors`` stores the
     seeds' rows, for units that are few, and splits seeds that hold many of them.
     """
     split, join = {"word": (words_of, _join_words), "line": (lines_of, _join_lines)}[unit]

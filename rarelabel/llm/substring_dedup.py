@@ -1,14 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv factors.
-
-Every document is factored against an index of all documents.  The index is
-dealt in blocks by the seed of each 20-word window (see ``repeats``), and a
-window is looked up in the one block that can hold an equal one.  Factors are
-runs of windows found earlier; at a factor's boundary the next window is looked
-up anew, so a span may go on with another source.  Factors of at least 20 words
-become duplicate spans, and the words they cover are removed.
-
-A factor points to the earliest copy of each window, not to the longest match:
-both cover the same words, and the earliest is what decides who keeps a passage.
+"""Substring dedup: remove every word of a passage that started earlier.
+
+A relative Lempel-Ziv parse would factor each document against reference blocks
+and keep factors of at least 20 words.  A word is covered by such a factor if and
+only if one of its 20-word windows also starts earlier, so windows are grouped
+instead: each is dealt by its seed to the one index block that can hold an equal
+one (see ``repeats``) and points to the earliest copy.  Factors are not built; the
+spans of covered words are the same.
 """
 
 from __future__ import annotations
@@ -24,6 +21,7 @@ SEED_WORDS = 5
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``doc_id, n_units (words), n_removed, spans, kept_text``: kept words joined by one space.
 
-    Nulls, ties and empty tables: see ``repeats.without_repeats``.
+    Texts of any length are read whole, other columns are not read, and an empty
+    table gives no rows.  Nulls and ties: see ``repeats.without_repeats``.
     """
     return without_repeats(docs, "word", window, min(SEED_WORDS, window), id_col, text)
