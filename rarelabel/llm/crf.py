@@ -125,9 +125,10 @@ class Model:
         self.own, self.before, self.after = own, before, after
         self.base, self.stay, self.enter = base, stay, enter
         self.scale = np.zeros(4)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop what was looked up; it is found again when needed."""
         self.memo: dict[str, int] = {}
         self.parts = np.zeros((1024, 3))
         self.kinds = {k: {f[1:]: v for f, v in self.own.items() if f[0] == k} for k in "wps#A"}
@@ -152,7 +153,7 @@ class Model:
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self._forget()
+        self.forget()
 
     def _look_up(self, words: list[str]) -> list[int]:
         memo, before, after = self.memo, self.before.get, self.after.get
@@ -168,7 +169,7 @@ class Model:
     def word_odds(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Log odds of toxic for each word of each text."""
         if len(self.memo) > MEMO_WORDS:
-            self._forget()
+            self.forget()
         sizes = np.array([len(t) for t in texts], np.int64)
         ids = np.array([k for t in texts for k in self._look_up(t)], np.int64)
         if not len(ids):

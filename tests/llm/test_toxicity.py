@@ -94,3 +94,16 @@ def test_held_out_accuracy(spark):
     hit = sum(r.predicted and r.toxic for r in found)
     precision, recall = hit / sum(r.predicted for r in found), hit / sum(r.toxic for r in found)
     assert precision > 0.95 and recall > 0.9, (precision, recall, len(found))
+
+
+def test_repeated_ids_give_one_model_however_rows_are_dealt(spark):
+    rows = [(i % 7, f"word{i} " * 5 + ("scum" if i % 7 < 3 else "fine")) for i in range(280)]
+    labels = spark.createDataFrame([(i, int(i < 3)) for i in range(7)], "doc_id bigint, toxic int")
+    found = {str(toxicity.sample(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(n), labels)) for n in (1, 3, 5, 8)}
+    assert len(found) == 1
+
+
+def test_clean_texts_of_the_chain_are_a_parameter():
+    rows = [(f"you scum number{i}", 1, 40) for i in range(40)] + [(f"good day number{i} friend", 0, 60) for i in range(60)]
+    few, many = (toxicity.fit(rows, n) for n in (5, 60))
+    assert few.own != many.own and few.score(few.word_odds([["scum"]])[0]) > few.score(few.word_odds([["friend"]])[0])
