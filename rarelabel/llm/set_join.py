@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hyperminhash as sketch
-from .common import bounded, salted_join, stored
+from .common import BROADCAST_ROWS, salted_join, stored
 from .components import components
 from .repeats import _mixed
 
@@ -42,7 +42,6 @@ WORDS = 3
 SIMILARITY = (90, 100)
 PARTS = 3  # second-level parts; each subset leaves out one
 BLOCK_ROWS, BLOCK_SHINGLES = 2_048, 1 << 20
-SENT_ROWS = 100_000  # tables of more rows are joined by shuffle, not broadcast
 _SEEN = "doc_id bigint, n_shingles bigint, set_id binary, keys array<bigint>, host int"
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -124,8 +123,10 @@ def _with_sets(rows: DataFrame, read: DataFrame, words: int) -> DataFrame:
     Where ids repeat, more texts are read and told apart by their sets; a task
     yields a set once.
     """
-    wanted = stored(rows.select(F.col("least").alias("_least")).distinct())
-    texts = read.join(bounded(wanted, SENT_ROWS), F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
+    held = stored(rows)
+    around = F.broadcast if held.count() <= BROADCAST_ROWS else lambda df: df
+    wanted = held.select(F.col("least").alias("_least")).distinct()
+    texts = read.join(around(wanted), F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
@@ -139,7 +140,7 @@ def _with_sets(rows: DataFrame, read: DataFrame, words: int) -> DataFrame:
                     sets.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], names=["set_id", "shingles"])
 
-    return texts.select("text").mapInArrow(run, "set_id binary, shingles binary").join(bounded(stored(rows), SENT_ROWS), "set_id")
+    return texts.select("text").mapInArrow(run, "set_id binary, shingles binary").join(around(held), "set_id")
 
 
 def links_in_block(nodes: list[int], labels: list[int], sides: list[bool], sets: list[np.ndarray], similarity: tuple[int, int], two: bool) -> list[tuple[int, int]]:
@@ -249,8 +250,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int
     keyed = nodes.select("node", "own.host", F.posexplode("own.keys").alias("at", "key")).select("key", "node", (F.col("at") < F.col("host")).alias("host"))
     # of the sets that share a signature, one must be of its band: others meet in their own
     shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("rows"), F.max("host").alias("hosted")).where("rows > 1 and hosted")
-    spokes = keyed.join(bounded(stored(shared.select("key", "leader")), SENT_ROWS), "key").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    families = components(stored(spokes.distinct())).withColumnRenamed("component", "family")
+    # as many keys as there are shared signatures: joined by shuffle, where Spark splits a frequent one
+    spokes = keyed.join(stored(shared.select("key", "leader")), "key").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    families = components(spokes).withColumnRenamed("component", "family")
     families = stored(families.join(nodes.select("node", "n", "set_id", "least"), "node"))
     labels = components(_links(families, read, words, similarity, block_rows, block_shingles)).withColumnRenamed("node", "_node")
     labelled = stored(nodes.select("set_id", "node", "least").join(labels, F.col("node") == F.col("_node"), "left").select("set_id", "least", "component"))
