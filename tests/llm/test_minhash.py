@@ -112,3 +112,18 @@ def test_components(spark):
     found = {x.node: x.component for x in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert found == {x: find(x) for x in root if x != 3}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_few_links_take_one_job_for_all_turns(spark):
+    """Chains and stars, with the last task's turn at once, after some turns of all tasks, and never."""
+    r = random.Random(8)
+    links = [(k, k + 1) for k in range(100, 160)] + [(200, 200 + r.randrange(1, 40)) for _ in range(60)] + [(300 - k, 301 - k) for k in range(0, 40, 2)] + [(7, 7), (-5, 1_000)]
+    want = {n: min(c) for c in [set(range(100, 161)), {x for p in links[60:120] for x in p}, *({x, y} for x, y in links[120:140]), {-5, 1_000}] for n in c}
+    table = spark.createDataFrame(links, "a bigint, b bigint")
+    for last_rows in (0, 150, 500_000):
+        assert {x.node: x.component for x in components(table, last_rows=last_rows).collect()} == want
+    spark.sparkContext.setJobGroup("few-links", "")
+    components(table)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) <= 10, len(jobs)
