@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import salted_join, stored
@@ -188,6 +188,38 @@ def hot_seeds(anchors: DataFrame, share: int = 4) -> DataFrame:
     return F.broadcast(stored(counted.where(F.col("count") > total / (parts * share)).select("seed")))
 
 
+_HIT_BITS = 26  # 2048 bitmaps of 4 KB: 8 MB broadcast, whatever the table
+
+
+def _hits(by_doc: DataFrame, key: Column) -> DataFrame:
+    """``_part, _bits``: the hashed keys of ``by_doc`` as bitmaps, of bounded size in all."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << _HIT_BITS)).alias("_place")
+    return by_doc.select(place).groupBy(F.bitmap_bucket_number("_place").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+
+
+def _marked(read: DataFrame, by_doc: DataFrame) -> DataFrame:
+    """``doc_id, tie, text, _hit``: 0 where a row of ``read`` has no masks, 1 where it has, or shares its bit with one that has."""
+    hits = F.broadcast(stored(_hits(by_doc, F.struct("_id", "_tie"))))
+    placed = read.withColumn("_place", F.pmod(F.xxhash64(F.struct("doc_id", "tie")), F.lit(1 << _HIT_BITS)))
+    met = placed.withColumn("_part", F.bitmap_bucket_number("_place")).join(hits, "_part", "left")
+    at = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1)
+    return met.select("doc_id", "tie", "text", F.coalesce(bit, F.lit(0)).alias("_hit"))
+
+
+def _with_masks(read: DataFrame, by_doc: DataFrame) -> DataFrame:
+    """``doc_id, text, packed`` of each row of ``read``; ``packed`` is null where ``by_doc`` has none.
+
+    Only texts that may have repeats are shuffled to their masks, as a bitmap of
+    hashed ids tells: a few are shuffled in vain, none is missed.  The larger the
+    table, the more bits are shared, up to all texts being shuffled.
+    """
+    marked = _marked(read, by_doc)
+    met = marked.where("_hit = 1").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left")
+    return met.select("doc_id", "text", "packed").unionByName(marked.where("_hit = 0").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("packed")))
+
+
 _KEPT = "doc_id bigint, n_units bigint, n_removed bigint, spans array<struct<start:bigint,length:bigint>>, kept_text string"
 
 
@@ -244,7 +276,7 @@ def without_repeats(docs: DataFrame, unit: str, window: int, gram: int, id_col:
     found = repeat_masks(anchors, hot_seeds(anchors) if keep_anchors else None)
     packed = F.shiftleft(F.shiftright("place", _OFFSET_BITS), reach).bitwiseOR(F.col("mask"))
     by_doc = found.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_list(packed).alias("packed"))
-    met = read.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left").select("doc_id", "text", "packed")
+    met = _with_masks(read, stored(by_doc))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))

@@ -134,3 +134,16 @@ def test_windows_whose_prints_share_40_bits(docs):
     assert len({int(m[0]) & (1 << 40) - 1 for m in marks}) == 1
     found = substring_dedup.remove_repeated_passages(docs([(i, t, "a") for i, t in enumerate(texts)])).collect()
     assert [r.n_removed for r in found] == [0, 0]
+
+
+def test_only_texts_that_may_have_repeats_are_shuffled(docs, spark):
+    """The bitmap of hashed ids misses no text with masks, null and equal ids included, and passes few others."""
+    rows = [(i, f"text {i}", "a") for i in range(3_000)] + [(None, "none", "a"), (5, "again", "a"), (-9, None, "a")]
+    read = repeats._prepared(docs(rows), "doc_id", "text")
+    own = read.where("doc_id % 100 = 7 or doc_id is null or text = 'again'")
+    by_doc = own.selectExpr("doc_id as _id", "tie as _tie", "array(1L, doc_id) as packed")
+    marked = repeats._marked(read, by_doc).where("_hit = 1").select("doc_id", "text")
+    want = {(r.doc_id, r.text) for r in own.collect()}
+    assert want <= {tuple(r) for r in marked.collect()} and marked.count() <= len(want) + 2
+    found = {(r.doc_id, r.text): r.packed for r in repeats._with_masks(read, by_doc).collect()}
+    assert found == {(i, t): [1, i] if (i, t) in want else None for i, t, _ in rows}
