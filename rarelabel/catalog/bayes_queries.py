@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -248,20 +254,52 @@ _WORDS_SQL = f"""d AS (SELECT doc_id, lang, {h60('doc_id')} < {below_sql(0.8)} A
     t AS (SELECT label, pos, ln(s + 1) - ln(total) AS theta FROM s JOIN m USING (label))"""
 
 
+_REPEATED_ROWS = 500_000
+_ENTRIES = "doc_id bigint, lang string, side string, words array<struct<pos:int,value:double>>"
+
+
+def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's words by position and number; places of words are kept for a while, as most words come again."""
+    places: dict[bytes, int] = {}
+    for batch in batches:
+        ends, positions, values = [0], [], []
+        for text in batch.column("text").to_pylist():
+            found = Counter(re.findall(b"[a-z]+", text.encode().lower()) if text else ())  # bytes: only A-Z change
+            counts: dict[int, int] = {}
+            for word, n in found.items():
+                place = places.get(word)
+                if place is None:
+                    if len(places) >= 200_000:
+                        places.clear()
+                    place = places[word] = int(hashlib.md5(word).hexdigest()[:15], 16) % WORD_WIDTH
+                counts[place] = counts.get(place, 0) + n
+            positions.extend(counts)
+            values.extend(counts.values())
+            ends.append(len(positions))
+        each = pa.StructArray.from_arrays([pa.array(positions, pa.int32()), pa.array(values, pa.float64())], names=["pos", "value"])
+        words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "side")), words], names=["doc_id", "lang", "side", "words"])
+
+
 def _word_entries(spark, sf_dir):
-    documents = with_side(table(spark, sf_dir, "documents", "doc_id", "lang", "text"), "doc_id", SEED)
-    lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    each = F.explode_outer(F.regexp_extract_all(lowered, F.lit("[a-z]+"), F.lit(0))).alias("word")
-    place = F.conv(F.substring(F.md5("word"), 1, 15), 16, 10).cast("bigint") % WORD_WIDTH
-    counted = documents.select("doc_id", "lang", "side", each).groupBy("doc_id", "lang", "side", place.cast("int").alias("pos")).agg(F.count("word").cast("double").alias("value"))
+    """One row for each ``doc_id, lang``: rows that share both are one document."""
+    read = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    each = with_side(read, "doc_id", SEED).select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "side", "text").mapInArrow(_counted_words, _ENTRIES)
+    ensure_checkpoint_dir(spark)
+    again = read.groupBy(F.col("doc_id").cast("bigint").alias("_id"), F.col("lang").alias("_lang")).count().where("count > 1").drop("count").checkpoint()
+    several = again.count()
+    if not several:
+        return each
+    again = F.broadcast(again) if several <= _REPEATED_ROWS else again
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("lang").eqNullSafe(F.col("_lang"))
+    long = each.join(again, same, "left_semi").select("doc_id", "lang", "side", F.inline_outer("words"))
+    summed = long.groupBy("doc_id", "lang", "side", "pos").agg(F.sum("value").alias("value"))
     held = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "value")))
-    return counted.groupBy("doc_id", "lang", "side").agg(held.alias("words"))
+    return each.join(again, same, "left_anti").unionByName(summed.groupBy("doc_id", "lang", "side").agg(held.alias("words")))
 
 
 def _word_model(spark, sf_dir):
-    rows = _word_entries(spark, sf_dir)
-    ensure_checkpoint_dir(spark)
-    rows = rows.checkpoint()
+    rows = _word_entries(spark, sf_dir).checkpoint()
     return rows, sparse_bayes.fit(rows.where("side = 'train'"), "words", WORD_WIDTH, "lang")
 
 

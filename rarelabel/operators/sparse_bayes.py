@@ -3,8 +3,10 @@
 Nothing here has a column, an array or an expression per position: rows are their
 entries (position, value), sums are kept by (class, position), and only positions
 that a class has seen have a weight of their own.  The weight of all others is one
-number per class.  Scoring joins entries with weights by position, the entries of a
-frequent position dealt in salted parts.
+number per class.  Scoring joins entries with weights by position: weights of up to
+``BROADCAST_WEIGHTS`` meet the entries where they are, so a row's sums are made in its
+task; more are joined by shuffle, the entries of a frequent position dealt in salted
+parts.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import ensure_checkpoint_dir
 
 SALTS = 16
+BROADCAST_WEIGHTS = 1_000_000  # about 50 MB; their number grows with positions and classes, not with rows
 
 
 def entries(df: DataFrame, features: str) -> Column:
@@ -79,18 +82,23 @@ def fit(df: DataFrame, features: str, width: int, label: str = "label", by: Sequ
     return SparseBayes(classes.drop("_total"), weights, tuple(by))
 
 
-def scores(df: DataFrame, model: SparseBayes, features: str, key: Sequence[str], salts: int = SALTS) -> DataFrame:
+def scores(df: DataFrame, model: SparseBayes, features: str, key: Sequence[str], salts: int = SALTS, broadcast_weights: int = BROADCAST_WEIGHTS) -> DataFrame:
     """``(by..., key..., class, score)``: log score of each row under each class of its group.
 
     ``key`` must tell rows apart.  A row without entries has the prior alone.
     """
     by = list(model.by)
     rows = df.select(*by, *key, entries(df, features).alias("_e"))
-    salt = F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(salts)).cast("int")
-    long = rows.select(*by, *key, salt.alias("_salt"), F.inline("_e")).withColumnRenamed("value", "_value")
+    long = rows.select(*by, *key, F.inline("_e")).withColumnRenamed("value", "_value")
     held = model.weights.join(F.broadcast(model.classes.select(*by, "label", "unseen")), [*by, "label"]).select(*by, "pos", F.struct("label", (F.col("theta") - F.col("unseen")).alias("more")).alias("_w"))
-    held = held.groupBy(*by, "pos").agg(F.collect_list("_w").alias("_w")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = long.join(held, [*by, "pos", "_salt"]).select(*by, *key, "_value", F.inline("_w"))
+    held = held.groupBy(*by, "pos").agg(F.collect_list("_w").alias("_w"))
+    if model.weights.count() <= broadcast_weights:
+        met = long.join(F.broadcast(held), [*by, "pos"])
+    else:
+        salt = F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(salts)).cast("int")
+        held = held.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = long.withColumn("_salt", salt).join(held, [*by, "pos", "_salt"])
+    met = met.select(*by, *key, "_value", F.inline("_w"))
     more = met.groupBy(*by, *key, F.col("label").alias("class")).agg(F.sum(F.col("more") * F.col("_value")).alias("_more"))
     mass = F.aggregate("_e", F.lit(0.0), lambda a, e: a + e["value"]).alias("_mass")
     # one row per class and group

@@ -1,3 +1,4 @@
+import hashlib
 import time
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rarelabel.catalog import bayes_queries
 from rarelabel.functions.features import Features
 from rarelabel.operators import naive_bayes, sparse_bayes
 from rarelabel.plans import learners
@@ -86,3 +88,22 @@ def test_null_labels_are_errors(spark):
     df = spark.range(3).selectExpr("id", "cast(null as double) AS label", "array(struct(1 as pos, 1.0D as value)) AS features")
     with pytest.raises(Exception, match="null labels"):
         sparse_bayes.fit(df, "features", 3)
+
+
+def test_weights_that_fit_are_broadcast_and_others_joined_by_shuffle(table):
+    model = sparse_bayes.fit(table, "features", 6)
+    near, far = (sparse_bayes.scores(table, model, "features", ["id"], broadcast_weights=n) for n in (1_000, 0))
+    a, b = rows(near), rows(far)
+    assert [r[:2] for r in a] == [r[:2] for r in b] and [r[2] for r in a] == pytest.approx([r[2] for r in b])
+    assert ["_salt" in df._jdf.queryExecution().optimizedPlan().toString() for df in (near, far)] == [False, True]
+
+
+def test_words_of_rows_that_share_a_document(spark, tmp_path):
+    """One row for each id and language; only A-Z are lowered, and no word is lost."""
+    data = [(1, "en", "The cat, the DOG"), (2, "en", None), (2, "de", "Äpfel\u212a x"), (3, "en", "a b"), (3, "en", "b c"), (3, "en", "b"), (4, "en", ""), (4, "en", "12")]
+    spark.createDataFrame(data, "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    place = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:15], 16) % bayes_queries.WORD_WIDTH
+    want = {(1, "en"): {"the": 2, "cat": 1, "dog": 1}, (2, "en"): {}, (2, "de"): {"pfel": 1, "x": 1}, (3, "en"): {"a": 1, "b": 3, "c": 1}, (4, "en"): {}}
+    found = bayes_queries._word_entries(spark, str(tmp_path)).collect()
+    assert len(found) == len(want)
+    assert {(r.doc_id, r.lang): {e.pos: e.value for e in r.words} for r in found} == {k: {place(w): n for w, n in v.items()} for k, v in want.items()}
