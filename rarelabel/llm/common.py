@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rarelabel.functions.ranking import ensure_checkpoint_dir, scratch_path
@@ -53,6 +56,29 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+SLICE_ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``SLICE_ROWS``, without copying them.
+
+    A Python worker lives as long as its executor and keeps what its largest batch
+    took, so it makes objects of few rows at a time, however many Spark sends at once.
+    """
+    for batch in batches:
+        for first in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(first, SLICE_ROWS)
+
+
+def local_table(spark: SparkSession, table: pa.Table) -> DataFrame:
+    """A small table of the driver's.
+
+    From Arrow: a list of Python rows would go through Python workers of another
+    kind than those of ``mapInArrow``, and these then stay on every executor as well.
+    """
+    return spark.createDataFrame(table)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a longer one if ``df`` has a column of that name in any case."""
     taken = {c.lower() for c in df.columns}
@@ -91,7 +117,8 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
         if placed is not None:
             paths = sorted(r[0] for r in placed.select(path).distinct().collect())
             # one row for each file of the table, as the driver's listing has it
-            files = docs.sparkSession.createDataFrame([(p, k << _ROW_BITS) for k, p in enumerate(paths)], f"`{path}` string, `{name}` bigint")
+            places = [k << _ROW_BITS for k in range(len(paths))]
+            files = local_table(docs.sparkSession, pa.table({path: pa.array(paths, pa.string()), name: pa.array(places, pa.int64())}))
             return placed.join(F.broadcast(files), path).select(*docs.columns, (F.col(name) + F.col(place)).alias(name)), name
     written = scratch_path(docs.sparkSession, "numbered")
     docs.withColumn(name, F.monotonically_increasing_id()).write.parquet(written)

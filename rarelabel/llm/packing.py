@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import local_table, slices, stored
 from .tokens import byte_ids
 
 CAPACITY = 2048
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = byte_ids(tokenizer_path), end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = coder.ids(t) + end
@@ -120,7 +120,8 @@ def place(spark: SparkSession, items: DataFrame, capacity: int = CAPACITY) -> Da
     sizes = stored(sizes.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     steps = best_fit_plan(counts, capacity)
-    plan = spark.createDataFrame(steps or [(1, 0, 0, 0, 1, 0)], "length bigint, _first bigint, _count bigint, _sequence bigint, _per bigint, _used bigint")
+    columns = [pa.array(c, pa.int64()) for c in zip(*(steps or [(1, 0, 0, 0, 1, 0)]), strict=True)]
+    plan = local_table(spark, pa.table(columns, names=["length", "_first", "_count", "_sequence", "_per", "_used"]))
     if len(steps) <= PLAN_BROADCAST_ROWS:
         plan = F.broadcast(plan)
     own = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")

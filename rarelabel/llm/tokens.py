@@ -8,7 +8,7 @@ import struct
 
 MEMO_ENTRIES = 200_000  # per worker process; the table is emptied when full
 SPACE = "▁"
-
+PROBES = 1_000
 
 
 class PieceCounter:
@@ -118,8 +118,12 @@ class ByteIds:
         ranks = {bytes(byte_of[c] for c in token): i for token, i in self.library.get_vocab(with_added_tokens=False).items()}
         self.fast = tiktoken.Encoding("vocabulary", pat_str=_PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
         probes = [t for b in ranks if (t := b.decode("utf-8", "ignore")) and t.encode() == b]
+        self.same = all(self._agree(probes[k : k + PROBES]) for k in range(0, len(probes), PROBES))
+
+    def _agree(self, probes: list[str]) -> bool:
+        """Few probes at a time: the library's answers are large, and the worker would keep their memory."""
         expected = self.library.encode_batch(probes, add_special_tokens=False)
-        self.same = all(e.ids == self.fast.encode_ordinary(p) for p, e in zip(probes, expected, strict=True) if not any(s in p for s in self.special))
+        return all(e.ids == self.fast.encode_ordinary(p) for p, e in zip(probes, expected, strict=True) if not any(s in p for s in self.special))
 
     def ids(self, text: str | None) -> bytes:
         if not text:
